@@ -85,19 +85,25 @@ def _or_null(c):
     return F.when(c != "", c)
 
 
-def fund_manager(c) -> Column:
-    """Known manager in the parts after the first dash, else at the very start, else null."""
-    n = normalize_name(c)
+def manager_of_normalized(n) -> Column:
     managers = "(" + "|".join(S.FUND_MANAGERS) + ")"
     return F.coalesce(_or_null(F.regexp_extract(n, "-" + managers, 1)), _or_null(F.regexp_extract(n, "^" + managers, 1)))
 
 
-def fund_match_key(c) -> Column:
-    n = normalize_name(c)
+def fund_manager(c) -> Column:
+    """Known manager in the parts after the first dash, else at the very start, else null."""
+    return manager_of_normalized(normalize_name(c))
+
+
+def fund_key_of_normalized(n) -> Column:
     custodian = F.coalesce(_or_null(F.substring_index(n, "-", 1)), n)
-    manager = fund_manager(c)
-    return F.when(manager.isNotNull(), F.concat(F.lit("FUND:"), manager)).otherwise(
-        F.concat(F.lit("CUST:"), org_key_of_normalized(custodian)))
+    return F.coalesce(F.concat(F.lit("FUND:"), manager_of_normalized(n)),
+                      F.concat(F.lit("CUST:"), org_key_of_normalized(custodian)), F.lit(""))
+
+
+def fund_match_key(c) -> Column:
+    """FUND:<manager> where one is known, else CUST:<organisation key of the first part>."""
+    return fund_key_of_normalized(normalize_name(c))
 
 
 def channel_pattern(patterns=None) -> str:
@@ -108,10 +114,10 @@ def _plain(text):
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text))
 
 
-def is_channel_name(c, exact=None, patterns=None) -> Column:
+def is_channel_name(c, exact=None, patterns=None, normalized=None) -> Column:
     """True for holders that only hold for others: exact list on the normalised name, patterns on both spellings."""
     c = F.col(c) if isinstance(c, str) else c
-    n = normalize_name(c)
+    n = normalize_name(c) if normalized is None else normalized
     exact = [_plain(x) for x in (S.CHANNEL_NAMES if exact is None else exact)]
     patterns = S.CHANNEL_PATTERNS if patterns is None else patterns
     hit = n.isin(exact) if exact else F.lit(False)
@@ -124,8 +130,7 @@ def contains_any(c, words) -> Column:
     return c.rlike("|".join(re.escape(w) for w in words))
 
 
-def holder_entity_type(holder_type, name) -> Column:
-    t, n = normalize_name(holder_type), normalize_name(name)
+def holder_type_of_normalized(t, n) -> Column:
     return (F.when(contains_any(t, S.PERSON_TYPE_WORDS) | (t == "个人"), "person")
             .when(contains_any(t, S.FUND_TYPE_WORDS), "fund")
             .when(contains_any(t, S.ORG_TYPE_WORDS), "org")
@@ -133,6 +138,11 @@ def holder_entity_type(holder_type, name) -> Column:
             .otherwise("org"))
 
 
+def holder_entity_type(holder_type, name) -> Column:
+    """Person, fund or organisation: by the stated type, else a short name without organisation words is a person."""
+    return holder_type_of_normalized(normalize_name(holder_type), normalize_name(name))
+
+
 def title_class(title) -> Column:
     t = normalize_name(title)
     return (F.when(t.contains("独立董事"), "independent_director")
@@ -142,16 +152,24 @@ def title_class(title) -> Column:
             .otherwise("other"))
 
 
-def controller_entity_type(name) -> Column:
-    n = normalize_name(name)
+def controller_type_of_normalized(n) -> Column:
     return (F.when(contains_any(n, S.CONTROLLER_ORG_WORDS), "org")
             .when(F.char_length(n) <= 4, "person").otherwise("org"))
 
 
-def canonical_for(entity_type, name) -> Column:
+def controller_entity_type(name) -> Column:
+    return controller_type_of_normalized(normalize_name(name))
+
+
+def canonical_of_normalized(entity_type, n) -> Column:
     t = F.col(entity_type) if isinstance(entity_type, str) else entity_type
-    return (F.when(t == "person", normalize_name(name))
-            .when(t == "fund", fund_match_key(name)).otherwise(org_match_key(name)))
+    return F.coalesce(F.when(t == "person", n).when(t == "fund", fund_key_of_normalized(n))
+                      .otherwise(org_key_of_normalized(n)), F.lit(""))
+
+
+def canonical_for(entity_type, name) -> Column:
+    """Key of an entity within its type."""
+    return canonical_of_normalized(entity_type, normalize_name(name))
 
 
 def matcher_norm(c) -> Column:
