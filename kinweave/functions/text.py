@@ -60,4 +60,4 @@ def wording_hits(c) -> Column:
 
 def organisation_names(c) -> Column:
     """Names ending in an organisation suffix."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(_c(c), F.lit(S.ORG_IN_TEXT), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_c(c), F.lit(S.ORG_IN_TEXT), 1), lambda x: F.trim(x)))

@@ -73,7 +73,7 @@ def load_positions(df, company):
 def load_controllers(df):
     """Controllers: first name of the chain; rows that only say 'none' or 'unknown' are no controllers."""
     df = normalized_headers(df)
-    chain = F.filter(F.transform(F.split(F.coalesce("实际控制人名称", F.lit("")), r"[\r\n;]+"), F.trim), lambda x: x != "")
+    chain = F.filter(F.transform(F.split(F.coalesce("实际控制人名称", F.lit("")), r"[\r\n;]+"), lambda x: F.trim(x)), lambda x: x != "")
     rows = (df.withColumn("chain", chain).withColumn("name", F.try_element_at("chain", F.lit(1)))
             .where(F.col("name").isNotNull() & ~F.col("name").isin(S.PLACEHOLDER_CONTROLLERS))
             .withColumn("n", names.normalize_name("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinweave import settings as S
 from kinweave.functions import codes
+from kinweave.operators import folding, rules
 from kinweave.session import written
 
 _WRITTEN = {}
@@ -224,6 +225,16 @@ class Tables:
             "entity_id", "display_name", "short_name", F.floor("ratio").cast("double").alias("ratio"), "n_rows",
             "report_period", F.expr(STATEMENT).alias("text"))
 
+    # ---- results of the rules, written once per session ----
+    @property
+    def candidates(self):
+        return self.once("candidates", lambda: rules.all_candidates(
+            self.company, self.entity, self.holding, self.position, self.controller, self.guarantee_pair))
+
+    @property
+    def parties(self):
+        return self.once("parties", lambda: folding.fold(self.candidates))
+
 
 DOMAIN_SQL = f"""
 company AS (SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') stock_code, s_name short_name, s_name||'股份有限公司' full_name,
