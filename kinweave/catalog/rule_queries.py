@@ -64,7 +64,7 @@ cand2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c6
                                                 as_of="1997-06-30")).select("subject_code", "party_id", "rule_id", "score_c", "n_candidates"))
 
 
-@query("RS", """SELECT rule_id, count(*) hits, count_if(confidence='high') high, count_if(confidence='medium') medium, count_if(confidence='low') low
+@query("RS", """SELECT rule_id, count(*) hits, count(*) FILTER (WHERE confidence='high') high, count(*) FILTER (WHERE confidence='medium') medium, count(*) FILTER (WHERE confidence='low') low
   FROM (SELECT unnest(string_split(rule_id,'+')) rule_id, confidence FROM parties) GROUP BY 1""", r.CTES)
 def rs(t):
     return folding.rule_statistics(t.parties).select(
@@ -73,7 +73,7 @@ def rs(t):
 
 @query("RS_mean", """SELECT count(*) n_companies, CAST(sum(n) AS BIGINT) n_candidates, CAST(sum(high) AS BIGINT) high, CAST(sum(medium) AS BIGINT) medium,
   CAST(sum(low) AS BIGINT) low, CAST(sum(n)*1000//count(*) AS BIGINT) mean_per_company_milli FROM (SELECT subject_code, count(*) n,
-  count_if(confidence='high') high, count_if(confidence='medium') medium, count_if(confidence='low') low FROM parties GROUP BY 1)""", r.CTES)
+  count(*) FILTER (WHERE confidence='high') high, count(*) FILTER (WHERE confidence='medium') medium, count(*) FILTER (WHERE confidence='low') low FROM parties GROUP BY 1)""", r.CTES)
 def rs_mean(t):
     return folding.candidate_statistics(t.parties)
 
