@@ -38,8 +38,8 @@ def j2(t):
 
 query("J3", "SELECT id FROM controller WHERE entity_id IN (SELECT entity_id FROM entity WHERE is_channel=0)")(
     lambda t: t.controller.join(t.entity.where("is_channel = 0").select("entity_id"), "entity_id", "left_semi").select("id"))
-query("J4", "SELECT stock_code FROM company WHERE stock_code NOT IN (SELECT stock_code FROM position WHERE title_class='director')")(
-    lambda t: t.company.join(t.position.where("title_class = 'director'").select("stock_code"), "stock_code", "left_anti").select("stock_code"))
+query("J4", "SELECT stock_code FROM company WHERE stock_code NOT IN (SELECT stock_code FROM position WHERE valid_from>='2001-06-01')")(
+    lambda t: t.company.join(t.position.where("valid_from >= '2001-06-01'").select("stock_code"), "stock_code", "left_anti").select("stock_code"))
 query("J5", "SELECT entity_id, display_name, min(stock_code) listed_code FROM entity JOIN company ON display_name=short_name GROUP BY 1,2")(
     lambda t: s.entity_to_company(t.entity, t.company))
 query("J6", """SELECT h.id, (SELECT max(h2.ratio) FROM holding h2 JOIN entity e2 USING (entity_id) WHERE h2.stock_code=h.stock_code AND e2.display_name=e.display_name) ratio
@@ -103,8 +103,7 @@ query("W9", f"""SELECT subject_code, party_id, CAST(CASE split_part(rule_id,'+',
     lambda t: s.review_order(t.parties).select("subject_code", "party_id", "rule_order", "conf_order", "score_c"))
 query("W12", """SELECT entity_id, stock_code, r ratio, row_number() OVER (PARTITION BY entity_id ORDER BY r DESC NULLS LAST, stock_code) rank FROM
   (SELECT entity_id, stock_code, max(ratio) r FROM holding GROUP BY 1,2)""")(
-    lambda t: s.first_per_key(t.holding.groupBy("entity_id", "stock_code").agg(F.max("ratio").alias("ratio")), ["entity_id"],
-                              [F.desc_nulls_last("ratio"), "stock_code"], 1 << 30).withColumn("rank", F.col("rank").cast("bigint")))
+    lambda t: s.reverse_holdings(t.holding))
 
 # ---- sets ----
 query("S1", """SELECT entity_id, 'position' AS "table", id, stock_code, title, valid_from, source FROM position UNION ALL

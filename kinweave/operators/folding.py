@@ -37,7 +37,12 @@ def _step(state, run):
 
 def fold(candidates: DataFrame, keys=("subject_code", "party_id")) -> DataFrame:
     """One row per pair: merged rule ids, final confidence and score, first and last hop, number of candidates."""
-    grouped = runs(candidates, keys).groupBy(*keys).agg(
+    return fold_runs(runs(candidates, keys), keys)
+
+
+def fold_runs(run_rows: DataFrame, keys=("subject_code", "party_id")) -> DataFrame:
+    """The fold over runs already counted, so that several settings can share one count."""
+    grouped = run_rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(
             "rule_no", (-F.col("conf_rank")).alias("o"), "conf_rank", "n", "score_c", "party_name", "first_path", "last_path",
             "as_of_date")), lambda a, b: F.when(a["rule_no"] != b["rule_no"], a["rule_no"] - b["rule_no"]).otherwise(

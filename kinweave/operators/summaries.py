@@ -34,11 +34,11 @@ def homonyms(entity, name="name", key="id"):
 def prefix_match(names, entity, holding):
     """For every given name (column `name`) the non-channel entity starting with it that has most holdings."""
     n_hold = holding.groupBy("entity_id").agg(F.count("*").alias("hold_count"))
-    lengths = names.select(F.char_length("name").alias("k")).distinct()
-    sizes = lengths.agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    live = entity.where("is_channel = 0").join(n_hold, "entity_id")
-    heads = live.select("entity_id", "display_name", "hold_count", F.explode(F.filter(
-        sizes.scalar(), lambda k: k <= F.char_length("display_name"))).alias("k"))
+    sizes = names.agg(F.array_sort(F.collect_set(F.char_length("name"))).alias("ks"))
+    live = entity.where("is_channel = 0").join(n_hold, "entity_id").select(
+        "entity_id", "display_name", "hold_count", sizes.scalar().alias("ks"))
+    heads = live.select("entity_id", "display_name", "hold_count", F.explode("ks").alias("k")).where(
+        "k <= char_length(display_name)")
     heads = heads.withColumn("name", F.expr("left(display_name, k)"))
     return heads.join(names.select("name").distinct(), "name").groupBy("name").agg(
         F.max_by(F.struct("entity_id", "display_name", "hold_count"), F.struct("hold_count", -F.col("entity_id"))).alias("m")).select(
@@ -169,6 +169,13 @@ def top_holders(holding, entity, n=10, **kw):
     return first_per_key(holders_by_name(holding, entity, **kw), ["stock_code"], ["first_id", "display_name", "entity_type"], n)
 
 
+def reverse_holdings(holding):
+    """Companies of every holder by largest ratio, unknown ratios last."""
+    w = Window.partitionBy("entity_id").orderBy(F.desc_nulls_last("ratio"), "stock_code")
+    return holding.groupBy("entity_id", "stock_code").agg(F.max("ratio").alias("ratio")).withColumn(
+        "rank", F.row_number().over(w).cast("bigint"))
+
+
 def event_order(event):
     """Position of each event on its company's timeline, split by company and day so that no task orders a whole company.
 
