@@ -52,10 +52,10 @@ def values_of(c) -> Column:
 
 def wording_hits(c) -> Column:
     """Evaluative, investment and causal wording as array of (kind, value), cut to 50 characters."""
-    return F.concat(*[
-        F.transform(F.regexp_extract_all(_c(c), F.lit(p), 0),
-                    lambda v, label=label: F.struct(F.lit(label).alias("kind"), F.left(v, F.lit(50)).alias("value")))
-        for label, p in S.WORDING_CLASSES])
+    def one(label, pattern):
+        return F.transform(F.regexp_extract_all(_c(c), F.lit(pattern), 0),
+                           lambda v: F.struct(F.lit(label).alias("kind"), F.left(v, F.lit(50)).alias("value")))
+    return F.concat(*[one(label, pattern) for label, pattern in S.WORDING_CLASSES])
 
 
 def organisation_names(c) -> Column:

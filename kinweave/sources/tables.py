@@ -41,7 +41,7 @@ GOLD_NAME = """CASE WHEN entity_id % 14 = 0 THEN translate(display_name, '012345
 QUESTIONS = [
     "{code}的关联方有哪些", "{name}的前十大股东", "{name}担保情况", "{name}的实控人是谁", "{code}和{next_code}什么关系",
     "{name}和{next_name}的关联方重合", "{name}在哪些公司任职", "对比{code}和{next_code}", "它的诉讼呢", "第二个是怎么关联的",
-    "{name}的法律纠纷和质押", "{name}控制哪些公司", "最近的天气怎么样", "{next_name}的董事",
+    "{name}的法律纠纷和质押", "{name}控制哪些公司", "最近的天气怎么样", "{next_name}的董事", "股东有哪些",
 ]
 STATEMENT = (
     "short_name || '的股东' || display_name || '持股' || CAST(shown AS STRING) || '%，共' || CAST(n_rows AS STRING)"
