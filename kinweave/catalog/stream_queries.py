@@ -51,7 +51,7 @@ def _as_stream(df, name):
 def str2(t):
     _, mentions, results = _session_log(t)
     rows = mentions.select("session", "turn", "ord", F.lit("user_mention").alias("kind"), "code", "name").unionAll(
-        results.select("session", "turn", "pos", F.lit("result_item"), "code", "name"))
+        results.select("session", "turn", "pos", F.lit("result_item"), "code", "name")).withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
     out = sw.run_to_table(fc.focus(_as_stream(rows.coalesce(4), "turns")), "focus")
     return out.select("session", "turn", "focus_code", "n_focus", "n_results")
 
@@ -108,7 +108,7 @@ query("W11", "SELECT CAST(event_id AS VARCHAR) trace_id FROM events ORDER BY ts
 
 def _cache_log(t):
     e = t.raw("events")
-    return e.select("event_type", (F.col("user_id") % 40).alias("slots"), F.floor(F.unix_micros("ts") / 1000000).alias("ts"))
+    return e.select("event_type", (F.col("user_id") % 40).alias("slots"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
 
 
 _CACHE = """lg AS (SELECT event_type, user_id%40 slots, CAST(floor(epoch_us(ts)/1000000) AS BIGINT) ts FROM events),

@@ -24,8 +24,9 @@ def _walk(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
         state.remove()
         return
     turns = {int(t): tuple(v) for t, v in json.loads(state.get[0]).items()} if state.exists else {}
-    touched = set()
+    touched, seen_ms = set(), state.getCurrentWatermarkMs()
     for pdf in batches:
+        seen_ms = max(seen_ms, int(pdf["ts"].max().timestamp() * 1000))
         for turn, kind, code, name, ord_ in pdf[["turn", "kind", "code", "name", "ord"]].itertuples(index=False, name=None):
             turns[int(turn)] = _merge(turns.get(int(turn), (None, None, 0, 0)), kind, code, name, int(ord_))
             touched.add(int(turn))
@@ -37,10 +38,13 @@ def _walk(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
         out.append((key[0], turn, top[1], top[2], sum(x[2] + x[3] for x in near), turns[turn][3]))
     last = max(turns)
     state.update((json.dumps({t: v for t, v in turns.items() if t >= last - S.FOCUS_TURNS}),))
-    state.setTimeoutDuration(S.SESSION_GAP_SECONDS * 1000)
+    state.setTimeoutTimestamp(seen_ms + S.SESSION_GAP_SECONDS * 1000)
     yield pd.DataFrame(out, columns=["session", "turn", "focus_code", "focus_name", "n_focus", "n_results"])
 
 
-def focus(turns: DataFrame) -> DataFrame:
-    """Focus after every turn. turns (stream): session, turn, ord, kind (user_mention / result_item), code, name."""
-    return turns.groupBy("session").applyInPandasWithState(_walk, OUT, STATE, "append", "ProcessingTimeTimeout")
+def focus(turns: DataFrame, delay="10 minutes") -> DataFrame:
+    """Focus after every turn; a session is forgotten half an hour of event time after its last turn.
+
+    turns (stream): session, turn, ord, kind (user_mention / result_item), code, name, ts.
+    """
+    return turns.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(_walk, OUT, STATE, "append", "EventTimeTimeout")
