@@ -51,7 +51,7 @@ def _as_stream(df, name):
 def str2(t):
     _, mentions, results = _session_log(t)
     rows = mentions.select("session", "turn", "ord", F.lit("user_mention").alias("kind"), "code", "name").unionAll(
-        results.select("session", "turn", "pos", F.lit("result_item"), "code", "name")).withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
+        results.select("session", "turn", "pos", F.lit("result_item"), "code", "name")).withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("turn") * 60))
     out = sw.run_to_table(fc.focus(_as_stream(rows.coalesce(4), "turns")), "focus")
     return out.select("session", "turn", "focus_code", "n_focus", "n_results")
 

@@ -5,6 +5,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from kinweave import settings as S
 
@@ -50,7 +51,7 @@ def normalize_name(c) -> Column:
     return F.coalesce(_blank_free(folded_width(c.cast("string"))), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_rare(names: pd.Series) -> pd.Series:
     dashes = re.compile(r"[\u2010-\u2015\u2212\uff0d]")
     return names.map(lambda s: None if s is None else

@@ -105,7 +105,7 @@ def cache_hits(log, keys, ts="ts", ttl=TTL_SECONDS) -> DataFrame:
                     hits.append(n)
             yield pdf[[*keys, ts, "n"]].assign(hits=hits)
 
-    schema = ordered.select(*keys, ts, "n").schema.add("hits", "bigint")
+    schema = ordered.select(*keys, ts, "n", F.col("n").alias("hits")).schema
     return ordered.mapInPandas(walk, schema)
 
 
