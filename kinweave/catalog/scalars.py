@@ -130,11 +130,12 @@ def p17(t):
     return t.holding.join(e, "entity_id").select("id", paths.render_path(hops).alias("v"))
 
 
-@query("P18")
+@query("P18", """SELECT id, 'E HOLDS '||stock_code||' '||CASE WHEN ratio IS NULL THEN '' ELSE 'ratio='||CAST(ratio AS VARCHAR)||',' END||'rank='||CAST(holder_rank AS VARCHAR) v FROM holding""")
 def p18(t):
     """Hops without their empty attributes."""
-    return t.holding.select("id", F.to_json(paths.make_hop("E", F.col("stock_code"), "HOLDS", ratio=F.col("ratio"),
-                                                            rank=F.col("holder_rank"))).alias("v"))
+    hop = paths.make_hop("E", F.col("stock_code"), "HOLDS", ratio=F.col("ratio"), rank=F.col("holder_rank"))
+    attrs = F.array_join(F.transform(F.map_entries(F.col("h.attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return t.holding.select("id", hop.alias("h")).select("id", F.concat_ws(" ", "h.frm", "h.edge", "h.to", attrs).alias("v"))
 
 
 @query("P19", "SELECT h.id, coalesce(nullif(display_name,''), canonical_name, '') v FROM holding h LEFT JOIN entity USING (entity_id)")
@@ -187,11 +188,13 @@ def p24(t):
                                      F.left("text", F.lit(500)).alias("answer"))
 
 
-@query("P25")
+@query("P25", """SELECT id, 'holding#'||CAST(id AS VARCHAR)||' '||source||' '||report_period||' entity_id='||CAST(entity_id AS VARCHAR) v FROM holding""")
 def p25(t):
     """Evidence of each holding row."""
-    return t.holding.select("id", F.to_json(paths.make_evidence(
-        "holding", F.col("id"), F.col("source"), F.col("report_period"), entity_id=F.col("entity_id"))).alias("v"))
+    e = paths.make_evidence("holding", F.col("id"), F.col("source"), F.col("report_period"), entity_id=F.col("entity_id"))
+    return t.holding.select("id", e.alias("e")).select("id", F.concat(
+        "e.table", F.lit("#"), F.col("e.pk").cast("string"), F.lit(" "), "e.source", F.lit(" "), "e.report_period",
+        F.lit(" entity_id="), F.col("e.raw")["entity_id"]).alias("v"))
 
 
 @query("P26", """SELECT s_suppkey id, CASE WHEN starts_with(c,'60') OR starts_with(c,'68') OR starts_with(c,'9') THEN 'sh' ELSE 'sz' END||c v

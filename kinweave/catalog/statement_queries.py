@@ -21,7 +21,7 @@ plc AS (SELECT id, sx, text, unnest(range(1, length(text)-length(sx)+2)) p FROM
 men AS (SELECT DISTINCT id, regexp_extract(substr(text, CAST(greatest(1, p-20) AS BIGINT), CAST(p-greatest(1, p-20) AS BIGINT)), {q.lit('(' + _RUN + '*)$')}, 1)||sx mention FROM plc WHERE substr(text, CAST(p AS BIGINT), length(sx))=sx),
 sus AS (SELECT id, mention FROM men WHERE length(mention)>=4 AND {q.norm('mention')} NOT IN {q.in_list(S.MENTION_GENERIC)})"""
 query("TXT1", "SELECT id, mention FROM sus", _ST + ", " + _SUS)(
-    lambda t: _statements(t).select("id", F.explode(st.suspected_names("text")).alias("mention")))
+    lambda t: st.mentions(_statements(t)))
 _VALS = f"""vals AS (SELECT id, 'percent' AS kind, unnest(regexp_extract_all(text, '{S.PERCENT_PATTERN}', 1)) AS value FROM stt UNION ALL
  SELECT id, 'amount', unnest([x[1]||'|'||x[2] for x in list_zip(regexp_extract_all(text, '{S.AMOUNT_PATTERN}', 1), regexp_extract_all(text, '{S.AMOUNT_PATTERN}', 2))]) FROM stt UNION ALL
  SELECT id, 'count', unnest(regexp_extract_all(text, '{S.COUNT_PATTERN}', 1)) FROM stt UNION ALL

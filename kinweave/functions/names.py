@@ -28,7 +28,20 @@ def _compat_maps():
             mapped.append(form)
         else:
             expanding.append(char)
-    return "".join(plain), "".join(mapped), "[" + re.escape("".join(expanding)) + "]"
+    return "".join(plain), "".join(mapped), "[" + _ranges(expanding) + "]"
+
+
+def _ranges(chars):
+    """Characters as ranges of a regex class, so that a test stays a few comparisons."""
+    out, start, last = [], None, None
+    for point in [ord(c) for c in chars] + [None]:
+        if last is not None and point == last + 1:
+            last = point
+            continue
+        if last is not None:
+            out.append(f"\\u{start:04x}" + (f"-\\u{last:04x}" if last > start else ""))
+        start = last = point
+    return "".join(out)
 
 
 def _is_dash(char):
@@ -71,10 +84,11 @@ def with_normalized(df: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def org_key_of_normalized(n) -> Column:
-    pattern = "^(.+?)(" + "|".join(S.ORG_SUFFIXES) + ")$"
-    for _ in range(3):
-        n = F.regexp_replace(n, pattern, "$1")
-    return n
+    """Up to three suffixes off in one pass: every suffix ends in its own last sign and none of these stands inside another
+    suffix's cut, so the shortest head is what three rounds of the longest suffix leave."""
+    last = sorted({s[-1] for s in S.ORG_SUFFIXES})
+    pattern = "^(.+?)(?:" + "|".join(S.ORG_SUFFIXES) + "){1,3}$"
+    return F.when(F.right(n, F.lit(1)).isin(last), F.regexp_replace(n, pattern, "$1")).otherwise(n)
 
 
 def org_match_key(c) -> Column:

@@ -8,6 +8,11 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def exploded(df, keys, array, name):
+    """Elements of a computed array as rows. The outer form keeps the array from being worked out again in a filter below."""
+    return df.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def redact(c) -> Column:
     """Keys and tokens replaced by stars."""
     c = F.regexp_replace(_c(c), "sk-[a-zA-Z0-9]{10,}", "sk-***")
@@ -30,16 +35,17 @@ def extract_counts(c) -> Column:
 
 def extract_amounts(c) -> Column:
     """Array of 'number|unit'."""
-    number = F.regexp_extract_all(_c(c), F.lit(S.AMOUNT_PATTERN), 1)
-    unit = F.regexp_extract_all(_c(c), F.lit(S.AMOUNT_PATTERN), 2)
-    return F.zip_with(number, unit, lambda n, u: F.concat_ws("|", n, u))
+    return F.transform(F.regexp_extract_all(_c(c), F.lit(S.AMOUNT_PATTERN), 0),
+                       lambda m: F.regexp_replace(m, "^" + S.AMOUNT_PATTERN + "$", "$1|$2"))
 
 
 def extract_dates(c) -> Column:
-    """Array of YYYY-MM or YYYY-MM-DD, padded."""
-    year, month, day = (F.regexp_extract_all(_c(c), F.lit(S.DATE_PATTERN), g) for g in (1, 2, 3))
-    ym = F.zip_with(year, month, lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0")))
-    return F.zip_with(ym, day, lambda d, x: F.when(x != "", F.concat(d, F.lit("-"), F.lpad(x, 2, "0"))).otherwise(d))
+    """Array of YYYY-MM or YYYY-MM-DD, padded. The text is scanned once; parts are read from what matched."""
+    def iso(m):
+        day = F.regexp_extract(m, S.DATE_PATTERN, 3)
+        month = F.concat(F.left(m, F.lit(4)), F.lit("-"), F.lpad(F.regexp_extract(m, S.DATE_PATTERN, 2), 2, "0"))
+        return F.when(day != "", F.concat(month, F.lit("-"), F.lpad(day, 2, "0"))).otherwise(month)
+    return F.transform(F.regexp_extract_all(_c(c), F.lit(S.DATE_PATTERN), 0), iso)
 
 
 def values_of(c) -> Column:

@@ -8,16 +8,18 @@ partial aggregation before the shuffle; at most 7 x 3 runs per pair are left to
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave import settings as S
-from kinweave.functions.paths import render_path
+from kinweave.functions.paths import HOP_TYPE, render_path
 
 _STATE = "struct<conf:int,score:int,name:string>"
 
 
-def runs(candidates: DataFrame, keys=("subject_code", "party_id")) -> DataFrame:
+def runs(candidates: DataFrame, keys=("subject_code", "party_id"), paths=True) -> DataFrame:
+    """Runs of equal candidates, counted. Without paths where only names and confidences are asked for."""
     order = F.struct("k1", "k2", "k3")
     return candidates.groupBy(*keys, "rule_no", "conf_rank").agg(
-        F.count("*").alias("n"), F.max("score_c").alias("score_c"), F.min_by("party_name", order).alias("party_name"),
-        F.min_by("path", order).alias("first_path"), F.max_by("path", order).alias("last_path"),
+        F.count("*").alias("n"), F.max("score_c").alias("score_c"),
+        (F.min_by("party_name", order) if paths else F.min("party_name")).alias("party_name"),
+        *([F.min_by("path", order).alias("first_path"), F.max_by("path", order).alias("last_path")] if paths else []),
         F.first("as_of_date").alias("as_of_date"))
 
 
@@ -42,18 +44,20 @@ def fold(candidates: DataFrame, keys=("subject_code", "party_id")) -> DataFrame:
 
 def fold_runs(run_rows: DataFrame, keys=("subject_code", "party_id")) -> DataFrame:
     """The fold over runs already counted, so that several settings can share one count."""
+    paths = [c for c in ("first_path", "last_path") if c in run_rows.columns]
     grouped = run_rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(
-            "rule_no", (-F.col("conf_rank")).alias("o"), "conf_rank", "n", "score_c", "party_name", "first_path", "last_path",
-            "as_of_date")), lambda a, b: F.when(a["rule_no"] != b["rule_no"], a["rule_no"] - b["rule_no"]).otherwise(
+            "rule_no", (-F.col("conf_rank")).alias("o"), "conf_rank", "n", "score_c", "party_name", *paths, "as_of_date")), lambda a, b: F.when(a["rule_no"] != b["rule_no"], a["rule_no"] - b["rule_no"]).otherwise(
                 a["o"] - b["o"])).alias("r"))
     start = F.struct(F.lit(None).cast("int").alias("conf"), F.lit(0).alias("score"), F.lit("").alias("name")).cast(_STATE)
     rule_ids = F.array_join(F.array_distinct(F.transform("r", lambda x: F.concat(F.lit("R"), x["rule_no"].cast("string")))), "+")
     total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     folded = grouped.select(*keys, "r", F.aggregate("r", start, _step).alias("s"), rule_ids.alias("rule_id"),
                             total.alias("n_candidates"))
-    first, last = F.col("r")[0]["first_path"], F.element_at("r", -1)["last_path"]
-    path = F.when(F.col("n_candidates") == 1, first).otherwise(F.concat(F.slice(first, 1, 1), F.slice(last, 1, 1)))
+    path = F.lit(None).cast(f"array<{HOP_TYPE}>")
+    if paths:
+        first, last = F.col("r")[0]["first_path"], F.element_at("r", -1)["last_path"]
+        path = F.when(F.col("n_candidates") == 1, first).otherwise(F.concat(F.slice(first, 1, 1), F.slice(last, 1, 1)))
     conf = F.col("s.conf")
     return folded.select(
         *keys, F.col("s.name").alias("party_name"), "rule_id",

@@ -6,6 +6,7 @@ that occurs in the dictionary, and those are joined with the names. No text meet
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.functions import names
+from kinweave.functions.text import exploded
 from kinweave.operators import summaries
 
 MAX_HEADS = 64
@@ -41,13 +42,22 @@ def occurrences(texts, word_rows, key="id", text="text") -> DataFrame:
         F.count_distinct(F.left("word", F.lit(2))).alias("n")).alias("s")).scalar()
     head_rows = word_rows.select(F.left("word", F.lit(2)).alias("h")).distinct().orderBy("h").limit(MAX_HEADS + 1)
     heads = head_rows.agg(F.collect_set("h").alias("h")).scalar()
-    places = texts.where(F.char_length(text) > 0).select(
-        key, text, F.explode(F.sequence(F.lit(1), F.char_length(text))).alias("pos"))
-    places = places.withColumns({"_shape": shape, "_heads": heads})
-    places = places.where((F.col("_shape.n") > MAX_HEADS) | F.array_contains("_heads", F.substring(text, F.col("pos"), F.lit(2))))
-    cuts = places.select(key, text, "pos", F.explode("_shape.lens").alias("len")).where(
-        F.col("pos") + F.col("len") - 1 <= F.char_length(text))
-    cuts = cuts.select(key, "pos", "len", F.substring(text, F.col("pos"), F.col("len")).alias("word"))
+    few = F.col("_shape.n") <= MAX_HEADS
+    quoted = F.transform("_heads", lambda h: F.regexp_replace(h, r"([^\p{L}\p{N}])", r"\\$1"))
+    rows = texts.where(F.char_length(text) > 0).select(key, F.col(text).alias("_t"), shape.alias("_shape"), heads.alias("_heads"))
+    rows = rows.withColumn("_at", F.concat(F.lit("(?="), F.array_join(quoted, "|"), F.lit(")")))
+    # Where first characters are few, the text is split in front of them; else every position is a start.
+    rows = rows.withColumn("_parts", F.when(few, F.split("_t", F.col("_at"))).otherwise(F.split("_t", "")))
+    parts, t, n = F.col("_parts"), F.col("_t"), F.char_length("_t")
+    split_at = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.char_length(F.array_join(F.slice(parts, F.lit(1), i), "")) + 1)
+    starts = F.when(few, split_at).otherwise(F.sequence(F.lit(1), n))
+
+    def cut(p, k):
+        word = F.when(few, F.substring(t, p, k)).otherwise(F.array_join(F.slice(parts, p, k), ""))
+        return F.struct(p.alias("pos"), k.alias("len"), word.alias("word"))
+
+    pieces = F.flatten(F.transform(starts, lambda p: F.transform(F.filter("_shape.lens", lambda k: p + k - 1 <= n), lambda k: cut(p, k))))
+    cuts = exploded(rows, [key], pieces, "x").select(key, "x.*")
     return cuts.join(word_rows, "word")
 
 

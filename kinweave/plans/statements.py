@@ -31,9 +31,13 @@ def suspected_names(c):
     return F.filter(F.array_distinct(F.concat(*found)), lambda x: (F.char_length(x) >= 4) & ~names.normalize_name(x).isin(S.MENTION_GENERIC))
 
 
+def mentions(statements, key="id", text="text") -> DataFrame:
+    return tx.exploded(statements, [key], suspected_names(text), "mention")
+
+
 def values(statements, key="id", text="text") -> DataFrame:
     """Numbers of a statement as rows: key, kind, value."""
-    return statements.select(key, F.explode(tx.values_of(text)).alias("v")).select(key, "v.kind", "v.value")
+    return tx.exploded(statements, [key], tx.values_of(text), "v").select(key, "v.kind", "v.value")
 
 
 def wrong_values(stated, allowed, key="id") -> DataFrame:
@@ -71,7 +75,7 @@ def result_values(holders, controllers, events, key="stock_code") -> DataFrame:
 
 def unknown_companies(statements, company, entity, key="id", text="text") -> DataFrame:
     """Suspected names that are no known name, contain none and are in none, and match no entity."""
-    found = statements.select(key, F.explode(suspected_names(text)).alias("mention"))
+    found = mentions(statements, key, text)
     n = names.normalize_name("mention")
     cand = found.select("mention").distinct().withColumn("cn", n)
     known = linking.company_dictionary(company).select("word").unionAll(linking.person_dictionary(entity).select("word")).distinct()
@@ -91,12 +95,12 @@ def unknown_companies(statements, company, entity, key="id", text="text") -> Dat
 
 
 def unknown_codes(statements, company, key="id", text="text") -> DataFrame:
-    stated = statements.select(key, F.explode(tx.extract_codes(text)).alias("stock_code"))
+    stated = tx.exploded(statements, [key], tx.extract_codes(text), "stock_code")
     return stated.join(company.select("stock_code"), "stock_code", "left_anti").select(key, "stock_code")
 
 
 def wording(statements, key="id", text="text") -> DataFrame:
-    return statements.select(key, F.explode(tx.wording_hits(text)).alias("v")).select(key, "v.kind", "v.value")
+    return tx.exploded(statements, [key], tx.wording_hits(text), "v").select(key, "v.kind", "v.value")
 
 
 def verdicts(statements, company, entity, allowed=None, key="id", text="text") -> DataFrame:
@@ -132,7 +136,7 @@ def extracted_events(rows) -> DataFrame:
 
 # ---- report text ----
 def organisations(texts, key="id", text="text") -> DataFrame:
-    return texts.select(key, F.explode(tx.organisation_names(text)).alias("name"))
+    return tx.exploded(texts, [key], tx.organisation_names(text), "name")
 
 
 def first_page(pages, wanted, key="doc_id") -> DataFrame:
