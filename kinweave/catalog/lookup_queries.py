@@ -104,6 +104,13 @@ query("Q9", """SELECT c.stock_code, short_name, coalesce(n_matched,0) n_matched,
     lambda t: _dossiers(t).select("stock_code", "short_name", "n_matched", "n_gold_only", "n_events",
                                   F.array_join(F.transform("holders", lambda x: x["display_name"]), "|").alias("holders")))
 query("SNK5")(lambda t: k.dossier_json(_dossiers(t)))
-query("Q13_roles")(lambda t: k.role_text(k.company_roles(t.entity, t.holding, t.controller, t.position)))
+query("Q13_roles", f"""SELECT stock_code, CASE role WHEN 'holder' THEN 0 WHEN 'controller' THEN 1 ELSE 2 END AS block, "at", CASE role WHEN 'holder' THEN '  '||CAST("at" AS VARCHAR)||'. '||display_name||
+   coalesce(' '||CAST(ratio AS VARCHAR)||'%','')||' ('||entity_type||')'||CASE WHEN is_channel=1 THEN ' [通道]' ELSE '' END WHEN 'controller' THEN '  '||display_name||coalesce(' ('||CAST(ratio AS VARCHAR)||'%)','')
+   ELSE '  '||display_name||' - '||coalesce(title,'') END line FROM ({_ROLES})""")(
+    lambda t: k.role_lines(k.company_roles(t.entity, t.holding, t.controller, t.position)))
+query("SNK5_items", """SELECT stock_code, section, count(*) n FROM (SELECT stock_code, 'controllers' AS section FROM controller JOIN entity USING (entity_id) WHERE is_channel=0 UNION ALL SELECT stock_code, 'disclosed' FROM al WHERE side<>'system_only'
+  UNION ALL SELECT subject_code, 'found' FROM parties UNION ALL SELECT subject_code, 'events' FROM event) GROUP BY 1,2""", _ALIGNED)(
+    lambda t: k.dossier_items(t.entity, t.controller, t.parties, ev.align(t.parties, _gold(t)), t.event).groupBy("stock_code", "section").agg(
+        F.count("item").alias("n")))
 query("Q13_events")(lambda t: k.event_text(t.event))
 query("Q14")(lambda t: k.dossier_text(_dossiers(t)))

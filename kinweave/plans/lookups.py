@@ -247,6 +247,16 @@ def dossiers(company, entity, holding, controller, parties, aligned, event, lead
     return out.na.fill(0, counts).withColumn("disclaimer", F.struct(*[F.lit(v).alias(k) for k, v in S.DOSSIER_NOTES.items()]))
 
 
+def dossier_items(entity, controller, parties, aligned, event) -> DataFrame:
+    """Everything a dossier lists, one JSON item per row, whatever the length of a company's lists."""
+    def items(df, key, section, *fields):
+        return df.select(F.col(key).alias("stock_code"), F.lit(section).alias("section"), F.to_json(F.struct(*fields)).alias("item"))
+    return (items(controllers(controller, entity), "stock_code", "controllers", "display_name", "control_ratio", "entity_type")
+            .unionAll(items(aligned.where("side <> 'system_only'"), "stock_code", "disclosed", "name", "side"))
+            .unionAll(items(parties, "subject_code", "found", "party_name", "rule_id", "confidence", "score"))
+            .unionAll(items(event, "subject_code", "events", "event_type", "event_date", "counterparty", "amount", "summary", "source_type")))
+
+
 def dossier_json(rows) -> DataFrame:
     return rows.select("stock_code", F.to_json(F.struct(*rows.columns)).alias("dossier"))
 
@@ -260,8 +270,8 @@ def _amount(c):
     return F.format_number(c, 0)
 
 
-def role_text(roles, n=200) -> DataFrame:
-    """Q13. The roles of a company as text; at most n lines per block, with the number of lines left out."""
+def role_lines(roles) -> DataFrame:
+    """Q13. The roles of a company as lines of text, one row per line, in block order: holders, controllers, officers."""
     line = (F.when(F.col("role") == "holder", F.concat(
         F.lit("  "), F.col("at").cast("string"), F.lit(". "), "display_name",
         F.coalesce(F.concat(F.lit(" "), F.col("ratio").cast("string"), F.lit("%")), F.lit("")), F.lit(" ("), "entity_type", F.lit(")"),
@@ -269,17 +279,19 @@ def role_text(roles, n=200) -> DataFrame:
         .when(F.col("role") == "controller", F.concat(F.lit("  "), "display_name", F.coalesce(
             F.concat(F.lit(" ("), F.col("ratio").cast("string"), F.lit("%)")), F.lit(""))))
         .otherwise(F.concat(F.lit("  "), "display_name", F.lit(" - "), F.coalesce("title", F.lit("")))))
-    kept = summaries.first_per_key(roles.withColumn("line", line), ["stock_code", "role"], ["at", "display_name"], n)
-    total = roles.groupBy("stock_code", "role").agg(F.count("*").alias("n"))
-    lines = kept.groupBy("stock_code", "role").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines")).join(total, ["stock_code", "role"])
-    head = F.when(F.col("role") == "holder", "\n前十大股东：").when(F.col("role") == "controller", "\n实际控制人：").otherwise("\n董监高：")
-    more = F.when(F.col("n") > n, F.concat(F.lit("\n  ...还有 "), (F.col("n") - n).cast("string"), F.lit(" 条"))).otherwise("")
-    order = F.when(F.col("role") == "holder", 0).when(F.col("role") == "controller", 1).otherwise(2)
-    block = F.struct(order.alias("o"), F.concat(head, F.lit("\n"), "lines", more).alias("v"))
-    return lines.groupBy("stock_code").agg(F.array_sort(F.collect_list(block)).alias("b")).select(
+    block = F.when(F.col("role") == "holder", 0).when(F.col("role") == "controller", 1).otherwise(2)
+    return roles.select("stock_code", block.alias("block"), "at", line.alias("line"))
+
+
+def role_text(lines) -> DataFrame:
+    """Lines joined to one text per company. For companies whose lines fit a cell; the lines themselves have no such bound."""
+    heads = F.array(F.lit("\n前十大股东："), F.lit("\n实际控制人："), F.lit("\n董监高："))
+    per = lines.groupBy("stock_code", "block").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    per = per.withColumn("t", F.concat(F.get(heads, F.col("block")), F.lit("\n"), "t"))
+    return per.groupBy("stock_code").agg(F.array_sort(F.collect_list(F.struct("block", "t"))).alias("b")).select(
         "stock_code", F.concat(F.lit("股票代码 "), "stock_code", F.lit(" 的角色信息：\n"),
-                               F.array_join(F.transform("b", lambda x: x["v"]), "\n")).alias("text"))
+                               F.array_join(F.transform("b", lambda x: x["t"]), "\n")).alias("text"))
 
 
 def event_text(event, shown=5) -> DataFrame:

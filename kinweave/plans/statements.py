@@ -73,8 +73,11 @@ def result_values(holders, controllers, events, key="stock_code") -> DataFrame:
     return out.distinct()
 
 
-def unknown_companies(statements, company, entity, key="id", text="text") -> DataFrame:
-    """Suspected names that are no known name, contain none and are in none, and match no entity."""
+def unknown_companies(statements, company, entity, key="id", text="text", result_names=None) -> DataFrame:
+    """Suspected names that are no known name, contain none and are in none, and match no entity.
+
+    result_names (key, name): names of the structured result a statement was made from; they count as known for it.
+    """
     found = mentions(statements, key, text)
     n = names.normalize_name("mention")
     cand = found.select("mention").distinct().withColumn("cn", n)
@@ -91,7 +94,13 @@ def unknown_companies(statements, company, entity, key="id", text="text") -> Dat
     within = linking.occurrences(shown, probes.where("char_length(text) >= 6").select(F.col("text").alias("word"))).select(F.col("word").alias("k"))
     fine = exact.unionAll(holds_known).unionAll(in_known).unionAll(canon).unionAll(within).distinct()
     bad = cand.withColumn("k", F.lower("cn")).join(fine, "k", "left_anti").select("mention")
-    return found.join(bad, "mention", "left_semi").select(key, "mention")
+    out = found.join(bad, "mention", "left_semi").select(key, "mention")
+    if result_names is None:
+        return out
+    given = result_names.select(F.col(key).alias("_k"), names.normalize_name("name").alias("_n")).where("_n <> ''").distinct()
+    cn, k = names.normalize_name("mention"), F.col("_n")
+    vouched = (cn == k) | ((F.char_length(k) >= 3) & (cn.contains(k) | k.contains(cn)))
+    return out.join(given, (F.col(key) == F.col("_k")) & vouched, "left_anti")
 
 
 def unknown_codes(statements, company, key="id", text="text") -> DataFrame:
@@ -103,9 +112,9 @@ def wording(statements, key="id", text="text") -> DataFrame:
     return tx.exploded(statements, [key], tx.wording_hits(text), "v").select(key, "v.kind", "v.value")
 
 
-def verdicts(statements, company, entity, allowed=None, key="id", text="text") -> DataFrame:
+def verdicts(statements, company, entity, allowed=None, key="id", text="text", result_names=None) -> DataFrame:
     """Per statement: number of violations, of wording hits, and whether it passes."""
-    bad = unknown_companies(statements, company, entity, key, text).select(key).unionAll(
+    bad = unknown_companies(statements, company, entity, key, text, result_names).select(key).unionAll(
         unknown_codes(statements, company, key, text).select(key))
     if allowed is not None:
         bad = bad.unionAll(wrong_values(values(statements, key, text), allowed, key).select(key))
