@@ -35,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, partition_by=None) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def write_table(df: DataFrame, name: str) -> str:
+    """Write a frame to a new place in the shared folder and return the place."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))

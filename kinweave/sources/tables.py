@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from kinweave import settings as S
 from kinweave.functions import codes
 from kinweave.operators import folding, rules
-from kinweave.session import written
+from kinweave.session import write_table
 
 _WRITTEN = {}
 
@@ -63,8 +63,10 @@ class Tables:
     def once(self, name, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
-            _WRITTEN[key] = written(build(), name)
-        return _WRITTEN[key]
+            df = build()
+            _WRITTEN[key] = (write_table(df, name), df.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @property
     def company(self):
