@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import sharding
+from kinweave.llm import mixing, sharding
 from kinweave.llm.tables import table
 
 
@@ -7,5 +7,13 @@ def op1_jump_shards(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_jump_shards": op1_jump_shards}
-ORACLES = {}
+def op7_water_filling(spark, folder):
+    return mixing.mix_words(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op7_water_filling)}
+
+ORACLES = {
+    "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * times AS BIGINT) AS taken FROM mix""",
+}
