@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import mixing, sharding
+from kinweave.llm import mixing, sharding, warc
 from kinweave.llm.tables import table
 
 
@@ -7,11 +7,15 @@ def op1_jump_shards(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op6_indexed_warc(spark, folder):
+    return warc.archive_pages(table(spark, folder, "pages"))
+
+
 def op7_water_filling(spark, folder):
     return mixing.mix_words(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op7_water_filling)}
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op6_indexed_warc, op7_water_filling)}
 
 ORACLES = {
     "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
