@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import mixing, sharding, warc
+from kinweave.llm import decontamination, mixing, sharding, warc
 from kinweave.llm.tables import table
 
 
@@ -15,7 +15,11 @@ def op7_water_filling(spark, folder):
     return mixing.mix_words(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op6_indexed_warc, op7_water_filling)}
+def op8_prefix_decontamination(spark, folder):
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination)}
 
 ORACLES = {
     "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
