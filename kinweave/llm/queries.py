@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import decontamination, mixing, sharding, toxicity, warc
+from kinweave.llm import decontamination, fingerprints, mixing, sharding, toxicity, warc
 from kinweave.llm.tables import table
 
 
@@ -11,6 +11,10 @@ def op2_kneser_ney_toxicity(spark, folder):
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_quartile_digest(spark, folder):
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
 def op6_indexed_warc(spark, folder):
     return warc.archive_pages(table(spark, folder, "pages"))
 
@@ -23,7 +27,7 @@ def op8_prefix_decontamination(spark, folder):
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op5_quartile_digest, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination)}
 
 ORACLES = {
     "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
