@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import decontamination, fingerprints, mixing, sharding, toxicity, warc
+from kinweave.llm import decontamination, fingerprints, jaccard, mixing, sharding, toxicity, warc
 from kinweave.llm.tables import table
 
 
@@ -27,7 +27,11 @@ def op8_prefix_decontamination(spark, folder):
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op5_quartile_digest, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination)}
+def op10_multi_order_jaccard(spark, folder):
+    return jaccard.join_components(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op5_quartile_digest, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination, op10_multi_order_jaccard)}
 
 ORACLES = {
     "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
