@@ -7,7 +7,7 @@ classes, then to the documents of the class that hold the word, and from there t
 under both, and a rare one moves the score little. A logistic curve on evidence and length turns the difference into a probability.
 
 Bounds: the models are fitted on at most SAMPLE labelled rows of each class, the first in the order of a hash of the id; they keep
-the WORDS most frequent words and PAIRS most frequent pairs seen at least twice. Only these tables are collected and broadcast.
+the WORDS most frequent words and PAIRS most frequent pairs of those in more documents of a class than the discount. Only these tables are collected and broadcast.
 The curve is fitted on the same rows, each scored by models without its own fold; equal texts share a fold. The shared counts cover
 all documents, and every document is scored whole.
 
@@ -30,6 +30,8 @@ SAMPLE = 10_000
 WORDS = 1 << 16
 PAIRS = 1 << 17
 FOLDS = 4
+#: Counts that a task gathers before it passes them on.
+FLUSH = 1 << 17
 #: Taken from every count: what was seen so rarely is left to the counts that the classes share.
 DISCOUNT = 5.0
 #: A word or pair whose difference is above this is strong evidence by itself.
@@ -53,18 +55,51 @@ def training_labels(labels: DataFrame, key: str = "doc_id", label: str = "toxic"
     return cut(parts[0].unionByName(parts[1]), "toxic-labels")
 
 
-def _count_pairs(batches):
-    """(before, word, label, fold, n): documents of a batch that hold a word pair, or with a null before, a word; a text begins after an
-    empty word."""
+def _examples(batch):
+    return zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_label").to_pylist(), batch.column("_fold").to_pylist())
+
+
+def _count_words(batches):
+    """(word, label, fold, n): documents of a task that hold a word, in pieces of bounded size."""
+    def rows(sums):
+        flat = [(w, label, fold, n) for (label, fold), c in sums.items() for w, n in c.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), (pa.binary(), pa.int32(), pa.int32(), pa.int64()))], names=["word", "label", "fold", "n"])
+    sums = {}
     for batch in batches:
-        sums = {}
-        for text, label, fold in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_label").to_pylist(), batch.column("_fold").to_pylist()):
-            found = tokens(text)
-            sums.setdefault((label, fold), Counter()).update({*zip([b"", *found], found), *((None, w) for w in found)})
-        rows = [(a, b, label, fold, n) for (label, fold), c in sums.items() for (a, b), n in c.items()]
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["before", "word", "label", "fold", "n"])
+        for text, label, fold in _examples(batch):
+            sums.setdefault((label, fold), Counter()).update(set(tokens(text)))
+            if sum(map(len, sums.values())) > FLUSH:
+                yield rows(sums)
+                sums = {}
+    if any(sums.values()):
+        yield rows(sums)
+
+
+def _count_pairs(held):
+    """(pair, label, fold, n): documents of a task that hold a pair; a text begins after an empty word, and all words that the model does
+    not keep are one as the second of a pair."""
+    def count(batches):
+        number = {w: i for i, w in enumerate(held.value)}
+        size = len(number) + 1
+
+        def rows(keys):
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            pair, cell = found // (2 * FOLDS), found % (2 * FOLDS)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array((cell // FOLDS).astype(np.int32)), pa.array((cell % FOLDS).astype(np.int32)), pa.array(n.astype(np.int64))],
+                                              names=["pair", "label", "fold", "n"])
+        keys = []
+        for batch in batches:
+            for text, label, fold in _examples(batch):
+                found = tokens(text)
+                w = np.fromiter((number.get(x, size - 1) for x in found), np.int64, len(found))
+                v = np.concatenate(([number[b""]], w[:-1])) if found else w
+                keys.append(np.unique((v * size + w)[v < size - 1]) * (2 * FOLDS) + label * FOLDS + fold)
+                if len(keys) % 64 == 0 and sum(map(len, keys)) > FLUSH:
+                    yield rows(keys)
+                    keys = []
+        if keys:
+            yield rows(keys)
+    return count
 
 
 def _cells():
@@ -153,16 +188,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _holders(held, text):
-    """Documents of a task that hold each word of the model."""
+    """Documents of a task that hold each word of the model; at -1 the sum over all words."""
     def count(batches):
         number = held.value.numbers()
-        n = np.zeros(len(number), np.int64)
+        n, total = np.zeros(len(number), np.int64), 0
         for batch in batches:
             for value in batch.column(text).cast(pa.binary()).to_pylist():
-                known = [number[w] for w in set(tokens(value)) if w in number]
-                n[known] += 1
+                held_words = set(tokens(value))
+                n[[number[w] for w in held_words if w in number]] += 1
+                total += len(held_words)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], names=["word", "n"])
     return count
 
 
@@ -186,37 +222,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         F.col(text).alias("text"), "_label", F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(FOLDS)).cast("int").alias("_fold"))
     # Equal texts of a class are one row of the fit.
     rows = cut(rows.dropDuplicates(["text", "_label"]), "toxic-rows")
-    grams = cut(rows.mapInArrow(_count_pairs, "before binary, word binary, label int, fold int, n long")
-                .groupBy("before", "word", "label", "fold").agg(F.sum("n").alias("n")), "toxic-pairs")
-    by_word = grams.where("before IS NULL").groupBy("word").agg(*_cells(), F.sum("n").alias("n"))
-    kept = cut(by_word.where("n >= 2").orderBy(F.desc("n"), "word").limit(words), "toxic-words")
-    model = Model(rate=totals.get(1, 0) / max(1, sum(totals.values())))
-    found = kept.toArrow()
-    model.words = sorted([*found.column("word").to_pylist(), b""])
-    number = model.numbers()
-
-    def placed(table, at):
-        cube = np.zeros((len(model.words), 2, FOLDS))
-        if table.num_rows:
-            cube[[number[w] for w in table.column(at).to_pylist()]] = _cube(table)
-        return cube
-    model.n_word = placed(found, "word")
-    # Both lists of words are bounded by `words`, which makes the semi joins broadcasts of a bounded side.
-    is_word = F.broadcast(kept.select("word").unionByName(kept.sparkSession.createDataFrame([(bytearray(b""),)], "word binary")))
-    lefts = grams.join(is_word.withColumnRenamed("word", "before"), "before", "left_semi").groupBy("before").agg(*_cells()).toArrow()
-    model.begun = placed(lefts, "before")
-    double = (grams.join(is_word, "word", "left_semi").join(is_word.withColumnRenamed("word", "before"), "before", "left_semi")
-              .groupBy("before", "word").agg(*_cells(), F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "before", "word").limit(pairs)).toArrow()
-    keys = np.array([number[a] * len(number) + number[b] for a, b in zip(double.column("before").to_pylist(), double.column("word").to_pylist())], np.int64)
+    by_word = cut(rows.mapInArrow(_count_words, "word binary, label int, fold int, n long").groupBy("word").agg(*_cells()), "toxic-words")
+    # What no class has in more documents than the discount is left to the shared counts anyway.
+    usual = F.greatest(*[sum((F.col(f"n_{c}{f}") for f in range(FOLDS)), F.lit(0)) for c in (0, 1)])
+    found = by_word.where(usual > DISCOUNT).orderBy(usual.desc(), "word").limit(words).toArrow()
+    model = Model(rate=totals.get(1, 0) / max(1, sum(totals.values())), words=sorted([*found.column("word").to_pylist(), b""]))
+    number, size = model.numbers(), len(model.words) + 1
+    model.n_word = np.zeros((len(number), 2, FOLDS))
+    if found.num_rows:
+        model.n_word[[number[w] for w in found.column("word").to_pylist()]] = _cube(found)
+    model.n_all = _cube(by_word.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELLS]).toArrow())[0]
+    listed = docs.sparkSession.sparkContext.broadcast(model.words)
+    by_pair = cut(rows.mapInArrow(_count_pairs(listed), "pair long, label int, fold int, n long").groupBy("pair").agg(*_cells()), "toxic-pairs")
+    first = by_pair.groupBy(F.floor(F.col("pair") / size).alias("first")).agg(*[F.sum(c).alias(c) for c in CELLS]).toArrow()
+    model.begun = np.zeros((len(number), 2, FOLDS))
+    if first.num_rows:
+        model.begun[first.column("first").to_numpy()] = _cube(first)
+    double = by_pair.where((usual > DISCOUNT) & (F.col("pair") % size < size - 1)).orderBy(usual.desc(), "pair").limit(pairs).toArrow()
+    keys = double.column("pair").to_numpy()
     order = np.argsort(keys)
-    model.pairs, model.n = keys[order], (_cube(double)[order] if len(keys) else np.zeros((0, 2, FOLDS)))
-    whole = by_word.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELLS]).toArrow()
-    model.n_all = _cube(whole)[0]
+    model.pairs = (keys // size * (size - 1) + keys % size)[order]
+    model.n = _cube(double)[order] if len(keys) else np.zeros((0, 2, FOLDS))
     held = docs.sparkSession.sparkContext.broadcast(model)
     holders = docs.select(text).mapInArrow(_holders(held, text), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    shared = np.full(len(model.words), 0.5)
+    shared = np.full(len(model.words) + 1, 0.5)
     shared[holders.column("word").to_numpy()] += holders.column("n").to_numpy()
-    model.shared = shared / shared.sum()
+    model.shared = shared[:-1] / shared[-1]
     if not (totals.get(0) and totals.get(1)):
         return model
     held = docs.sparkSession.sparkContext.broadcast(model)
