@@ -1,5 +1,5 @@
 """One query for each operator of this folder, over its whole table with production parameters, and its SQL where there is one."""
-from kinweave.llm import decontamination, fingerprints, jaccard, mixing, personal, secret_scan, sharding, toxicity, warc
+from kinweave.llm import decontamination, fingerprints, jaccard, mixing, personal, secret_scan, sharding, token_counts, toxicity, warc
 from kinweave.llm.tables import table
 
 
@@ -35,11 +35,15 @@ def op8_prefix_decontamination(spark, folder):
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_trie_token_counts(spark, folder):
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
 def op10_multi_order_jaccard(spark, folder):
     return jaccard.join_components(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op3_linked_secrets, op4_bootstrapped_personal, op5_quartile_digest, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination, op10_multi_order_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_kneser_ney_toxicity, op3_linked_secrets, op4_bootstrapped_personal, op5_quartile_digest, op6_indexed_warc, op7_water_filling, op8_prefix_decontamination, op9_trie_token_counts, op10_multi_order_jaccard)}
 
 ORACLES = {
     "op7_water_filling": f"""WITH {mixing.MIX_SQL.format(docs="documents")}
