@@ -229,7 +229,8 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, p
     """(a, b): links between classes, enough of them to connect all that are connected."""
     met = candidates(classes, percent)
     counts = cut(met.groupBy("token").agg(F.count("*").cast("int").alias("classes")).where("classes > 1"), "jaccard-tokens")
-    few = met.join(counts.where(F.col("classes") < HOT), "token").select("token", "cls", "n")
+    # Written before it is joined with itself, so that frequent tokens are split off in a join that can deal them out.
+    few = cut(met.join(counts.where(F.col("classes") < HOT), "token").select("token", "cls", "n"), "jaccard-few")
     other = few.select("token", F.col("cls").alias("b"), F.col("n").alias("m"))
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = cut(few.withColumnRenamed("cls", "a").join(other, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "jaccard-pairs")
