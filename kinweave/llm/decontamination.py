@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.tables import cut
+from kinweave.llm.tables import cut, whole_row
 
 WINDOW = 10
 SHINGLE = 3
@@ -217,6 +217,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents in which no window occurs, with their columns."""
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("row"), F.col("text"))
+    held = docs.select(whole_row(docs).alias("row"), F.col("text"))
     return find_items(held, benchmark, **settings).where(F.size("spans") == 0).select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kinweave.llm.components import components
-from kinweave.llm.tables import cut
+from kinweave.llm.tables import cut, free
 
 SIZE, PERCENT = 4, 85
 #: Classes of a token from which on they are compared in blocks, and the most classes and tokens of a block.
@@ -261,5 +261,6 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The document with the smallest id of each component, and every row without a component; rows that share an id stay together."""
-    found = cut(join_components(docs, key, **settings).where(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct(), "jaccard-dropped")
-    return docs.join(found.withColumnRenamed("doc_id", "_dropped"), F.col(key).cast("long") == F.col("_dropped"), "left_anti")
+    gone = free(docs, "dropped")
+    found = join_components(docs, key, **settings).where(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id")))
+    return docs.join(cut(found.select(F.col("doc_id").alias(gone)).distinct(), "jaccard-dropped"), F.col(key).cast("long") == F.col(gone), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kinweave.llm.tables import WORD, cut
+from kinweave.llm.tables import WORD, cut, whole_row
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -89,9 +89,10 @@ def mix_words(docs: DataFrame, **settings) -> DataFrame:
 def mixed(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Rows that share a key share its number; keys are joined, not texts
     compared, and documents that are not taken are dropped before the texts move."""
-    times = plan(docs, key=key, **settings).where("times > 0").groupBy(F.col("key").alias("_key")).agg(F.max("times").alias("_times"))
-    kept = docs.join(cut(times, "mix-times"), docs[key].eqNullSafe(F.col("_key")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    taken = plan(docs, key=key, **settings).where("times > 0").groupBy("key").agg(F.max("times").alias("times"))
+    rows = docs.select(F.col(key).alias("of"), whole_row(docs).alias("row"))
+    kept = rows.join(cut(taken, "mix-times"), F.col("of").eqNullSafe(F.col("key")))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 MIX_SQL = r"""

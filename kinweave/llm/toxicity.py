@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinweave.llm.decontamination import tokens
-from kinweave.llm.tables import cut
+from kinweave.llm.tables import cut, whole_row
 
 SAMPLE = 10_000
 WORDS = 1 << 16
@@ -218,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = training_labels(labels, key, sample=sample)
     totals = {r["label"]: r["n"] for r in labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n")).collect()}
     # At most two samples of rows (key, label), so that the texts of the training rows are picked without moving any text.
-    rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key")).select(
-        F.col(text).alias("text"), "_label", F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(FOLDS)).cast("int").alias("_fold"))
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select(
+        "text", "_label", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("_fold"))
     # Equal texts of a class are one row of the fit.
     rows = cut(rows.dropDuplicates(["text", "_label"]), "toxic-rows")
     by_word = cut(rows.mapInArrow(_count_words, "word binary, label int, fold int, n long").groupBy("word").agg(*_cells()), "toxic-words")
@@ -260,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list = None) -> DataFrame:
-    """All rows with the kept columns (all unless named) and the probability of being toxic."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, score): every row as it is and its probability of being toxic."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -269,25 +270,23 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
         number = model.numbers()
         tables = model.tables() if model.curve is not None else None
         for batch in batches:
-            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             if tables is None:
                 p = np.full(len(texts), model.rate)
             else:
                 x = features([model.evidence(tokens(t), number, tables) for t in texts])
                 p = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "p"])
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).alias("_text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(score, f"row {kind}, p double").select("row.*", F.col("p").alias(name))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "score"])
+    rows = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(score, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = fit(docs, labels, **settings)
-    return with_score(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), fit(docs, labels, **settings)).select("row.doc_id", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    model = fit(docs, labels, **settings)
-    return with_score(docs, model, name="_score").where(F.col("_score") < threshold).select(*docs.columns)
+    return scored(docs, fit(docs, labels, **settings)).where(F.col("score") < threshold).select("row.*")
