@@ -12,7 +12,7 @@ The items are the query set; their windows are taken in blocks of at most BLOCK
 larger benchmark takes more blocks, one after the other in the same pass over the documents. Documents are never shuffled.
 
 Null and wordless texts have no words, no hits and no items; wordless items never occur; items may repeat their id or text, and each id
-counts once. Empty tables give no rows, or documents without hits.
+counts once; a null id is the empty one. Empty tables give no rows, or documents without hits.
 """
 import numpy as np
 import pyarrow as pa
@@ -190,7 +190,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                block: int = BLOCK) -> DataFrame:
     """All rows and columns of docs with n_words, spans (starts and ends of the hit runs of words, in turn) and items (ids as strings)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     windows = cut(items.mapInArrow(_windows(window), ITEM_TYPE).distinct(), "decontam-windows")
     n_blocks = windows.count() // max(1, block // 2) + 1
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
