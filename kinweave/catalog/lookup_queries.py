@@ -85,7 +85,7 @@ query("Q10", f"""SELECT stock_code, display_name, entity_type, CAST(rk AS INTEGE
 query("Q11", """SELECT a, b, CAST(EXISTS (SELECT 1 FROM controller x JOIN controller y USING (entity_id) WHERE x.stock_code=a AND y.stock_code=b) OR EXISTS (SELECT 1 FROM holding x JOIN holding y USING (entity_id)
    JOIN entity USING (entity_id) WHERE is_channel=0 AND x.stock_code=a AND y.stock_code=b) AS INTEGER) related FROM pairs""", PAIRS_SQL)(
     lambda t: k.pair_related(next_pairs(t), t.controller, t.holding, t.entity))
-query("Q12")(lambda t: k.random_company(t.company, t.controller))
+query("Q12", "SELECT stock_code, short_name FROM company WHERE stock_code IN (SELECT stock_code FROM controller) ORDER BY md5('42:'||stock_code), stock_code LIMIT 1")(lambda t: k.random_company(t.company, t.controller))
 query("Q15", "SELECT stock_code, short_name FROM company WHERE stock_code IN (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') FROM events)")(
     lambda t: k.company_by_code(t.company, t.raw("events").select(F.col("user_id").cast("string").alias("code"))).select("stock_code", "short_name"))
 

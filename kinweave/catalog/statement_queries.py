@@ -109,10 +109,10 @@ def _lines(t):
 
 query("TXT12", f"""SELECT np.doc_id, coalesce(h.s, sc.s) AS start, CASE WHEN h.s IS NOT NULL THEN coalesce(b.e, least(h.s+20, np.n)) ELSE sc.e END AS "end", CASE WHEN h.s IS NOT NULL THEN 'regex' WHEN sc.s IS NOT NULL THEN 'scatter' ELSE 'none' END AS method FROM np
   LEFT JOIN h USING (doc_id) LEFT JOIN (SELECT l.doc_id, min(page) e FROM bd l JOIN h ON h.doc_id=l.doc_id AND page>h.s AND page<=h.s+20 WHERE length(trim(line))<30 AND regexp_matches(trim(line), {q.lit(S.SECTION_BOUNDARY)}) GROUP BY 1) b USING (doc_id)
-  LEFT JOIN (SELECT doc_id, min(page) s, max(page)+1 e FROM (SELECT DISTINCT doc_id, page, dense_rank() OVER (PARTITION BY doc_id ORDER BY page) r FROM bd WHERE regexp_matches(line,'关联方|关联交易') AND doc_id NOT IN (SELECT doc_id FROM h)) WHERE r<=40 GROUP BY 1) sc USING (doc_id)""",
+  LEFT JOIN (SELECT doc_id, min(page) s, max(page)+1 e FROM (SELECT DISTINCT doc_id, page, dense_rank() OVER (PARTITION BY doc_id ORDER BY page) r FROM bd WHERE regexp_matches(line,'关联方|关联交易') AND doc_id NOT IN (SELECT doc_id FROM h)) GROUP BY 1) sc USING (doc_id)""",
       f"""dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) n FROM documents),
 ll AS (SELECT doc_id, CAST(12+n//2 AS INTEGER) page, {_LINE} line FROM dl), np AS (SELECT doc_id, CAST(max(page)+1 AS INTEGER) n FROM ll GROUP BY 1),
-bd AS (SELECT ll.* FROM ll JOIN np USING (doc_id) WHERE page>=20 AND page<least(np.n,260)),
+bd AS (SELECT ll.* FROM ll JOIN np USING (doc_id) WHERE page>=20 AND page<np.n),
 h AS (SELECT doc_id, min(page) s FROM bd WHERE length(trim(line))<40 AND {q.any_word('trim(line)', S.SECTION_HEADERS)} GROUP BY 1)""")(
     lambda t: st.locate_section(_lines(t), _lines(t).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))))
 

@@ -97,7 +97,8 @@ query("W3", "SELECT event_id, subject_code, row_number() OVER (PARTITION BY subj
     lambda t: s.event_order(t.event).select("event_id", "subject_code", "position"))
 query("W8", """SELECT stock_code, CAST(min(p) AS INTEGER) priority FROM (SELECT stock_code, 0 p FROM controller UNION ALL SELECT stock_code, 1 FROM position UNION ALL SELECT stock_code, 2 FROM company)
   GROUP BY 1 ORDER BY 2, 1 LIMIT 300""")(lambda t: s.evaluation_pool(t.company, t.controller, t.position))
-query("W7")(lambda t: s.stratified_sample(t.event, "event_type", "event_id", 20))
+query("W7", """SELECT event_id, event_type, event_date, subject_code, counterparty, amount, summary, source_type, ts, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY event_type ORDER BY md5('42:'||CAST(event_id AS VARCHAR)), event_id) rank FROM event) WHERE rank<=20""")(lambda t: s.stratified_sample(t.event, "event_type", "event_id", 20))
 query("W9", f"""SELECT subject_code, party_id, CAST(CASE split_part(rule_id,'+',1) {' '.join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(S.REVIEW_RULE_ORDER))} ELSE 99 END AS INTEGER) rule_order,
   CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END conf_order, score_c FROM parties""", r.CTES)(
     lambda t: s.review_order(t.parties).select("subject_code", "party_id", "rule_order", "conf_order", "score_c"))

@@ -200,7 +200,7 @@ def evaluation_pool(company, controller, position, n=300):
 
 def stratified_sample(df, stratum, key, n, seed=42):
     """n rows per stratum in the order of a seeded hash."""
-    return first_per_key(df, [stratum], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], n)
+    return first_per_key(df, [stratum], [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)], n)
 
 
 def review_order(df):

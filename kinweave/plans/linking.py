@@ -1,7 +1,7 @@
 """Names in texts linked to companies and entities.
 
-A dictionary name inside a text is found by an equi-join: every position of the text gives one substring per name length
-that occurs in the dictionary, and those are joined with the names. No text meets every name.
+A dictionary name inside a text is found by two equi-joins: the places of the text with the first characters of names, and there one
+substring per length such names have with the names. No text meets every name.
 """
 from pyspark.sql import DataFrame, functions as F
 
@@ -9,7 +9,8 @@ from kinweave.functions import names
 from kinweave.functions.text import exploded
 from kinweave.operators import summaries
 
-MAX_HEADS = 64
+#: Characters of a text that are one row before its places are.
+PIECE = 256
 
 
 def company_dictionary(company) -> DataFrame:
@@ -35,29 +36,27 @@ def words(dictionary) -> DataFrame:
 def occurrences(texts, word_rows, key="id", text="text") -> DataFrame:
     """Every place where a word occurs. texts: key, text (already in the words' spelling). Adds pos (1-based) and len.
 
-    Of the dictionary only its name lengths, and its first two characters while they are few, travel with the texts.
+    A text becomes rows: pieces of PIECE characters, each with as much of what follows as the longest word needs, then the places of a
+    piece. The first characters of a place are joined with the heads of the words, which say how long a word that begins so can be;
+    only there a substring is cut for each length and joined with the words. Nothing depends on the size of the dictionary.
     """
-    shape = word_rows.agg(F.struct(
-        F.array_sort(F.collect_set(F.char_length("word"))).alias("lens"),
-        F.count_distinct(F.left("word", F.lit(2))).alias("n")).alias("s")).scalar()
-    head_rows = word_rows.select(F.left("word", F.lit(2)).alias("h")).distinct().orderBy("h").limit(MAX_HEADS + 1)
-    heads = head_rows.agg(F.collect_set("h").alias("h")).scalar()
-    few = F.col("_shape.n") <= MAX_HEADS
-    quoted = F.transform("_heads", lambda h: F.regexp_replace(h, r"([^\p{L}\p{N}])", r"\\$1"))
-    rows = texts.where(F.char_length(text) > 0).select(key, F.col(text).alias("_t"), shape.alias("_shape"), heads.alias("_heads"))
-    rows = rows.withColumn("_at", F.concat(F.lit("(?="), F.array_join(quoted, "|"), F.lit(")")))
-    # Where first characters are few, the text is split in front of them; else every position is a start.
-    rows = rows.withColumn("_parts", F.when(few, F.split("_t", F.col("_at"))).otherwise(F.split("_t", "")))
-    parts, t, n = F.col("_parts"), F.col("_t"), F.char_length("_t")
-    split_at = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.char_length(F.array_join(F.slice(parts, F.lit(1), i), "")) + 1)
-    starts = F.when(few, split_at).otherwise(F.sequence(F.lit(1), n))
-
-    def cut(p, k):
-        word = F.when(few, F.substring(t, p, k)).otherwise(F.array_join(F.slice(parts, p, k), ""))
-        return F.struct(p.alias("pos"), k.alias("len"), word.alias("word"))
-
-    pieces = F.flatten(F.transform(starts, lambda p: F.transform(F.filter("_shape.lens", lambda k: p + k - 1 <= n), lambda k: cut(p, k))))
-    cuts = exploded(rows, [key], pieces, "x").select(key, "x.*")
+    # Two characters are a head, one if there are words of one.
+    shape = word_rows.agg(F.struct(F.least(F.lit(2), F.min(F.char_length("word"))).alias("head"), F.max(F.char_length("word")).alias("most")).alias("s")).scalar()
+    heads = word_rows.withColumn("_shape", shape).groupBy(F.left("word", F.col("_shape.head")).alias("head")).agg(
+        F.collect_set(F.char_length("word")).alias("lens"))
+    chunks = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % PIECE), F.lit(0))
+    rows = texts.where(F.char_length(text) > 0).select(key, shape.alias("_shape"), chunks.alias("_chunks"))
+    # Words longer than a piece need more than one piece after their own.
+    ahead = F.array_join(F.slice("_chunks", F.col("_i") + 2, F.ceil(F.col("_shape.most") / PIECE).cast("int")), "")
+    pieces = rows.select("*", F.posexplode("_chunks").alias("_i", "_piece")).select(
+        key, "_shape", "_i", F.char_length("_piece").alias("_n"), F.concat("_piece", F.left(ahead, F.col("_shape.most") - 1)).alias("_text"))
+    place = F.col("_p")
+    placed = exploded(pieces, [key, "_shape", "_i", "_text"], F.sequence(F.lit(1), F.col("_n")), "_p").select(
+        key, (F.col("_i") * PIECE + place).alias("pos"), F.substring("_text", place, F.col("_shape.head")).alias("head"),
+        F.substring("_text", place, F.col("_shape.most")).alias("_rest"))
+    met = placed.join(heads, "head")
+    cuts = exploded(met, [key, "pos", "_rest"], F.filter("lens", lambda k: k <= F.char_length("_rest")), "len").select(
+        key, "pos", "len", F.left("_rest", F.col("len")).alias("word"))
     return cuts.join(word_rows, "word")
 
 
@@ -148,9 +147,10 @@ def _contained(wanted, holders, text_col, code_col):
     word_rows = wanted.select(F.lower("t").alias("word")).where("word <> ''").distinct()
     texts = holders.select(F.col(code_col).alias("id"), F.lower(text_col).alias("text")).distinct()
     hits = occurrences(texts, word_rows).select("word", "id").distinct()
-    first = summaries.first_per_key(hits, ["word"], ["id"], 5)
-    return first.groupBy("word").agg(F.count("*").alias("n_like"), F.array_join(F.transform(F.array_sort(
+    first = summaries.first_per_key(hits, ["word"], ["id"], 5).groupBy("word").agg(F.array_join(F.transform(F.array_sort(
         F.collect_list("id")), lambda x: x.cast("string")), ",").alias("like_codes"))
+    # All are counted, five are shown.
+    return hits.groupBy("word").agg(F.count("*").alias("n_like")).join(first, "word")
 
 
 def link_company(texts, company) -> DataFrame:

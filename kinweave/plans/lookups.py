@@ -1,5 +1,5 @@
 """Parameterised queries over all companies or over a table of parameters, and the texts made from them."""
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave import settings as S
 from kinweave.functions.codes import confidence_rank, pad_code
@@ -192,7 +192,7 @@ def pair_related(pairs, controller, holding, entity) -> DataFrame:
 def random_company(company, controller, seed=42) -> DataFrame:
     """Q12. One company with a controller, by a seeded hash."""
     return company.join(controller.select("stock_code"), "stock_code", "left_semi").select("stock_code", "short_name").orderBy(
-        F.xxhash64(F.lit(seed), "stock_code"), "stock_code").limit(1)
+        F.md5(F.concat(F.lit(f"{seed}:"), "stock_code")), "stock_code").limit(1)
 
 
 def company_by_code(company, codes) -> DataFrame:
@@ -200,19 +200,20 @@ def company_by_code(company, codes) -> DataFrame:
     return company.join(codes.select(pad_code("code").alias("stock_code")).distinct(), "stock_code", "left_semi")
 
 
-# ---- dossiers: every block is a bounded list per company, or a count where it is not ----
+# ---- dossiers ----
 def _list(df, key, order, fields, n, name):
-    """First n rows per key as an array in order, and how many there were."""
-    first = summaries.first_per_key(df, [key], order, n, rank="_at")
+    """First n rows per key, or all without n, as an array in order."""
+    first = summaries.first_per_key(df, [key], order, n, rank="_at") if n else df.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     arr = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct(*fields).alias("v")))),
                                              lambda x: x["v"]).alias(name))
     return arr
 
 
-def dossiers(company, entity, holding, controller, parties, aligned, event, leading_proof, list_limit=200) -> DataFrame:
+def dossiers(company, entity, holding, controller, parties, aligned, event, leading_proof, list_limit=None) -> DataFrame:
     """Q9. One row per company: basics, holders, controllers, parties in three classes, events, notes.
 
-    Lists longer than list_limit continue in the long tables they come from; their full length is in the counts.
+    A dossier is one document per company and lists everything; with a list_limit it shows the first of each list, whose full length is in the
+    counts. dossier_items has the same as rows.
     leading_proof: first pieces of evidence per pair. aligned: stock_code, name, side.
     """
     from kinweave.functions import names
@@ -232,7 +233,7 @@ def dossiers(company, entity, holding, controller, parties, aligned, event, lead
         hits, ["stock_code", "name"], "left_anti")
     n_new = new.groupBy("stock_code").agg(F.count("*").alias("n_system_only"))
     proof = leading_proof.select(F.col("subject_code").alias("stock_code"), "party_id", F.slice("evidence", 1, 2).alias("evidence"))
-    shown = summaries.first_per_key(new, ["stock_code"], [F.desc("score_c"), "party_id"], list_limit, rank="_rk").join(
+    shown = new.withColumn("_rk", F.row_number().over(Window.partitionBy("stock_code").orderBy(F.desc("score_c"), "party_id"))).join(
         proof, ["stock_code", "party_id"], "left").withColumn("path", render_path("path"))
     found = _list(shown, "stock_code", ["_rk"], [F.col("party_name").alias("name"), F.col("rule_id").alias("rule"), "confidence", "path",
                                                  "score", "evidence"], list_limit, "system_only")

@@ -158,13 +158,14 @@ def first_page(pages, wanted, key="doc_id") -> DataFrame:
         key, "name", (F.coalesce("a", "b") + 1).alias("page"))
 
 
-def locate_section(lines, n_pages, key="doc_id", skip=20, last=260, span=20, scatter=40) -> DataFrame:
+def locate_section(lines, n_pages, key="doc_id", skip=20, last=None, span=20, scatter=None) -> DataFrame:
     """Pages of the section on related parties: header line, end at the next boundary; else pages that mention it.
 
-    lines: key, page (0-based), line. n_pages: key, n_pages. Every step is a minimum per document.
+    lines: key, page (0-based), line. n_pages: key, n_pages. Every step is a minimum per document. last and scatter bound the pages read and the
+    pages of mention; without them all count.
     """
     t = F.trim("line")
-    body = lines.join(n_pages, key).where((F.col("page") >= skip) & (F.col("page") < F.least(F.col("n_pages"), F.lit(last))))
+    body = lines.join(n_pages, key).where((F.col("page") >= skip) & (F.col("page") < (F.least(F.col("n_pages"), F.lit(last)) if last else F.col("n_pages"))))
     header = body.where((F.char_length(t) < 40) & names.contains_any(t, S.SECTION_HEADERS)).groupBy(key).agg(F.min("page").alias("start"))
     stops = body.where((F.char_length(t) < 30) & t.rlike(S.SECTION_BOUNDARY)).join(header, key).where(
         (F.col("page") > F.col("start")) & (F.col("page") <= F.col("start") + span)).groupBy(key).agg(F.min("page").alias("stop"))
@@ -172,7 +173,7 @@ def locate_section(lines, n_pages, key="doc_id", skip=20, last=260, span=20, sca
         key, "start", F.coalesce("stop", F.least(F.col("start") + span, F.col("n_pages"))).alias("end"), F.lit("regex").alias("method"))
     spots = body.where(names.contains_any(F.col("line"), ["关联方", "关联交易"])).select(key, "page").distinct().join(header, key, "left_anti")
     from kinweave.operators.summaries import first_per_key
-    some = first_per_key(spots, [key], ["page"], scatter).groupBy(key).agg(F.min("page").alias("start"), (F.max("page") + 1).alias("end"))
+    some = (first_per_key(spots, [key], ["page"], scatter) if scatter else spots).groupBy(key).agg(F.min("page").alias("start"), (F.max("page") + 1).alias("end"))
     out = by_header.unionAll(some.select(key, "start", "end", F.lit("scatter")))
     return n_pages.select(key).join(out, key, "left").withColumn("method", F.coalesce("method", F.lit("none")))
 

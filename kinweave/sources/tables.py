@@ -128,12 +128,12 @@ class Tables:
     def _position(self):
         o = self.raw("orders").where("o_orderstatus = 'F'").select(
             "o_orderkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-        li = self.raw("lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+        li = self.raw("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
         digit = F.left("title", F.lit(1))
         return (li.join(o, li.l_orderkey == o.o_orderkey)
                 .groupBy(F.col("o_custkey").alias("entity_id"), codes.pad_code("l_suppkey").alias("stock_code"),
                          F.col("o_orderpriority").alias("title"), F.col("day").alias("valid_from"))
-                .agg(F.min("l_orderkey").alias("id"))
+                .agg(F.min(F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("id"))
                 .select("id", "entity_id", "stock_code", "title",
                         F.when(digit == "1", "director").when(digit == "2", "supervisor").when(digit == "3", "senior_mgmt")
                         .when(digit == "4", "independent_director").otherwise("other").alias("title_class"),
@@ -258,12 +258,12 @@ holding AS (SELECT CAST(l_suppkey*1000000+q*100+rk AS BIGINT) id, o_custkey enti
   CASE WHEN o_custkey%4<>0 THEN CAST((CAST(amt*100 AS HUGEINT)*10000)//CAST(total*100 AS HUGEINT) AS DOUBLE)/100.0 END ratio,
   CAST(rk AS INTEGER) holder_rank, CASE WHEN o_custkey%4=0 THEN '{S.BATCH_SOURCE}' ELSE '{S.CHANGE_SOURCE}' END source,
   period||'-01' valid_from, CASE WHEN o_custkey%5=0 THEN period||'-28' END valid_to FROM ranked WHERE rk<=10),
-position AS (SELECT min(l_orderkey) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code, o_orderpriority title,
+position AS (SELECT CAST(min(l_orderkey*1000000+l_suppkey) AS BIGINT) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code, o_orderpriority title,
   CASE left(o_orderpriority,1) WHEN '1' THEN 'director' WHEN '2' THEN 'supervisor' WHEN '3' THEN 'senior_mgmt'
    WHEN '4' THEN 'independent_director' ELSE 'other' END title_class, '{S.POSITION_SOURCE}' source,
   strftime(o_orderdate,'%Y-%m-%d') valid_from, CAST(NULL AS VARCHAR) valid_to
-  FROM (SELECT l_orderkey, min(l_suppkey) l_suppkey FROM lineitem WHERE l_linenumber=1 GROUP BY 1) JOIN orders ON l_orderkey=o_orderkey
-  WHERE o_orderstatus='F' GROUP BY ALL),
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=1 AND o_orderstatus='F'
+  GROUP BY o_custkey, l_suppkey, o_orderpriority, strftime(o_orderdate,'%Y-%m-%d')),
 controller AS (SELECT s_suppkey id, lpad(CAST(s_suppkey AS VARCHAR),6,'0') stock_code, entity_id, CAST(30+s_suppkey%40 AS DOUBLE) control_ratio,
   '{S.CONTROLLER_SOURCE}' source, '1995-01-01' valid_from, CASE WHEN s_suppkey%7=0 THEN '1999-12-31' END valid_to
   FROM supplier JOIN (SELECT c_nationkey, min(c_custkey) entity_id FROM customer WHERE NOT (c_mktsegment='MACHINERY' AND c_custkey%2=0) GROUP BY 1)
