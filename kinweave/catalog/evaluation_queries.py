@@ -69,7 +69,7 @@ query("EV5", " UNION ALL ".join(figures(f"SELECT {FIG} FROM al_{n}", f"'{n}' AS
       _ALL + ", " + ", ".join(aligned(f"al_{n}", "parties", s) for n, s in ev.SCOPES))(lambda t: ev.scope_figures(t.parties, _gold(t)))
 _SWEEP = r.cands() + r.cands(tag="low", th=3.0).split("co AS")[0].rstrip().rstrip(",").join([",", ""]) + f""",
 st AS (SELECT unnest([3.0,5.0,7.0,10.0])::DOUBLE setting),
-swc AS (SELECT setting, c.* FROM c1low c JOIN st ON true JOIN (SELECT stock_code, entity_id, max(ratio) mr FROM holding GROUP BY 1,2) m
+swc AS MATERIALIZED (SELECT setting, c.* FROM c1low c JOIN st ON true JOIN (SELECT stock_code, entity_id, max(ratio) mr FROM holding GROUP BY 1,2) m
    ON m.stock_code=subject_code AND 'E:'||CAST(m.entity_id AS VARCHAR)=party_id WHERE mr IS NULL OR mr>=setting OR mr>=20
   UNION ALL SELECT setting, x.* FROM ({r.UNION.replace('SELECT * FROM c1 UNION ALL ', '')}) x, st),
 sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
@@ -78,7 +78,7 @@ query("EV6", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting
     lambda t: ev.threshold_sweep(t.candidates, t.holding, t.entity, _gold(t)))
 _ABL = r.cands() + f""",
 st AS (SELECT unnest(['R1','R2','R3','R4']) setting),
-swc AS (SELECT setting, x.* FROM ({r.UNION}) x JOIN st ON setting<>'R'||CAST(rule_no AS VARCHAR)),
+swc AS MATERIALIZED (SELECT setting, x.* FROM ({r.UNION}) x JOIN st ON setting<>'R'||CAST(rule_no AS VARCHAR)),
 sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
 {SG}, """ + aligned("al", "sw", "upstream", "st")
 query("EV7", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting, "), _ABL)(

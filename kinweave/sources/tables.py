@@ -242,23 +242,23 @@ DOMAIN_SQL = f"""
 company AS (SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') stock_code, s_name short_name, s_name||'股份有限公司' full_name,
   n_name industry, CAST(NULL AS VARCHAR) list_date, s_acctbal market_cap, CAST(s_acctbal<0 AS INTEGER) is_st
   FROM supplier LEFT JOIN nation ON s_nationkey=n_nationkey),
-entity AS (SELECT c_custkey entity_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'org' WHEN 'MACHINERY' THEN 'fund' ELSE 'person' END entity_type,
+entity AS MATERIALIZED (SELECT c_custkey entity_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'org' WHEN 'MACHINERY' THEN 'fund' ELSE 'person' END entity_type,
   lower(coalesce(s_name,c_name)) canonical_name, coalesce(s_name,c_name) display_name,
   CASE WHEN s_name IS NULL THEN [c_name] ELSE [s_name,c_name] END raw_names,
   CAST(c_mktsegment='MACHINERY' AND c_custkey%2=0 AS INTEGER) is_channel, CAST(NULL AS VARCHAR) disambig_note,
   CASE c_custkey%3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END confidence
   FROM customer LEFT JOIN supplier ON c_custkey%15=0 AND s_suppkey=c_custkey//15),
-amounts AS (SELECT o_custkey, l_suppkey, year(o_orderdate)*4+quarter(o_orderdate)-1 q,
+amounts AS MATERIALIZED (SELECT o_custkey, l_suppkey, year(o_orderdate)*4+quarter(o_orderdate)-1 q,
   sum(CAST(l_extendedprice AS DECIMAL(18,2))) amt, sum(CAST(l_quantity AS DECIMAL(18,2))) qty
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey,q ORDER BY amt DESC, o_custkey) rk,
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_suppkey,q ORDER BY amt DESC, o_custkey) rk,
   sum(amt) OVER (PARTITION BY l_suppkey,q) total, CAST(q//4 AS VARCHAR)||'-'||lpad(CAST((q%4+1)*3 AS VARCHAR),2,'0') period FROM amounts),
-holding AS (SELECT CAST(l_suppkey*1000000+q*100+rk AS BIGINT) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code,
+holding AS MATERIALIZED (SELECT CAST(l_suppkey*1000000+q*100+rk AS BIGINT) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code,
   period report_period, CAST(qty AS DOUBLE) shares,
   CASE WHEN o_custkey%4<>0 THEN CAST((CAST(amt*100 AS HUGEINT)*10000)//CAST(total*100 AS HUGEINT) AS DOUBLE)/100.0 END ratio,
   CAST(rk AS INTEGER) holder_rank, CASE WHEN o_custkey%4=0 THEN '{S.BATCH_SOURCE}' ELSE '{S.CHANGE_SOURCE}' END source,
   period||'-01' valid_from, CASE WHEN o_custkey%5=0 THEN period||'-28' END valid_to FROM ranked WHERE rk<=10),
-position AS (SELECT CAST(min(l_orderkey*1000000+l_suppkey) AS BIGINT) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code, o_orderpriority title,
+position AS MATERIALIZED (SELECT CAST(min(l_orderkey*1000000+l_suppkey) AS BIGINT) id, o_custkey entity_id, lpad(CAST(l_suppkey AS VARCHAR),6,'0') stock_code, o_orderpriority title,
   CASE left(o_orderpriority,1) WHEN '1' THEN 'director' WHEN '2' THEN 'supervisor' WHEN '3' THEN 'senior_mgmt'
    WHEN '4' THEN 'independent_director' ELSE 'other' END title_class, '{S.POSITION_SOURCE}' source,
   strftime(o_orderdate,'%Y-%m-%d') valid_from, CAST(NULL AS VARCHAR) valid_to
