@@ -43,7 +43,7 @@ for _id, _signal in (("D1", "name_rarity"), ("D2", "holding_cross"), ("D3", "com
 query("D7", f"""SELECT entity_id, CAST(score_m>700 AS INTEGER) same_person, CASE WHEN score_m>700 OR score_m<400 THEN 'high' ELSE 'medium' END pair_confidence
   FROM {scored(PAIRS)}""", RECS)(lambda t: _scored(t).select("entity_id", "same_person", "pair_confidence"))
 query("D8", f"""SELECT entity_id, tbl AS "table", id, score_m FROM {scored('''SELECT b.entity_id, b.tbl, b.id, n_companies, a.source a_source, b.source b_source, a.valid_from a_from,
-   b.valid_from b_from FROM recs a JOIN recs b ON a.entity_id=b.entity_id AND a.pos=1 AND b.pos BETWEEN 2 AND 150 JOIN reach r ON r.entity_id=a.entity_id''')}""", RECS)(
+   b.valid_from b_from FROM recs a JOIN recs b ON a.entity_id=b.entity_id AND a.pos=1 AND b.pos>=2 JOIN reach r ON r.entity_id=a.entity_id''')}""", RECS)(
     lambda t: h.against_first(t.position, t.holding, t.entity).select("entity_id", "table", "id", "score_m"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kinweave import settings as S
 from kinweave.operators import summaries
 
-RECORD_LIMIT = 150
+#: Ids of a person's clusters; a person has fewer records.
+CLUSTER_IDS = 1_000_000_000
 MIN_RECORDS = 5
 
 
@@ -93,37 +94,38 @@ def first_last_pairs(position, holding, entity, at_least=2) -> DataFrame:
             ("table", "table"), ("stock_code", "code"), ("title", "title"), ("valid_from", "from"), ("source", "source"))])
 
 
-def leading_records(position, holding, entity, limit=RECORD_LIMIT) -> DataFrame:
-    """The records a person is split on: positions first, then holdings, up to the limit of the method.
-
-    Records beyond the limit are not lost: they stay with the person. The limit is pushed below the shuffle.
-    """
-    return summaries.first_per_key(_people(position, holding, entity), ["entity_id"], ["t", "id"], limit, rank="at")
+def numbered_records(position, holding, entity) -> DataFrame:
+    """The records of every person in the order in which they are walked, positions first, then holdings. Adds at (from 1)."""
+    order = Window.partitionBy("entity_id").orderBy("t", "id")
+    return _people(position, holding, entity).withColumn("at", F.row_number().over(order))
 
 
 def against_first(position, holding, entity) -> DataFrame:
     """Every record against the first record of its person, the comparison every clustering starts with."""
-    rows = leading_records(position, holding, entity)
+    rows = numbered_records(position, holding, entity)
     first = rows.where("at = 1").select("entity_id", F.col("valid_from").alias("a_from"), F.col("source").alias("a_source"))
     pairs = rows.where("at > 1").join(first, "entity_id").join(summaries.company_counts(position, holding), "entity_id")
     return scored_pairs(pairs.select("entity_id", "table", "id", "n_companies", "a_source", F.col("source").alias("b_source"),
                                      "a_from", F.col("valid_from").alias("b_from")))
 
 
-_STATE = "struct<reps:array<struct<valid_from:string,source:string>>,labels:array<int>>"
+_STATE = "struct<reps:array<struct<valid_from:string,source:string>>,homes:array<int>,fates:array<int>>"
 
 
-def clusters(position, holding, entity, min_records=MIN_RECORDS, limit=RECORD_LIMIT) -> DataFrame:
+def clusters(position, holding, entity, min_records=MIN_RECORDS) -> DataFrame:
     """Cluster of every record: it joins the first cluster whose first record it matches, else opens one.
 
-    Order matters, so a person's records (at most `limit`) are walked as one sorted array, inside the JVM.
+    The score reads a record's source and date only, and both ways alike. Records of one form (source, date) therefore share their fate:
+    all join the cluster of the same earlier form, or all open; those that match themselves open one cluster together, the others
+    one each. So the forms of a person, bounded by the calendar, are walked in the order in which they first appear, inside the JVM, and
+    the records take their cluster from the walk by joins; their number has no bound.
     Columns: entity_id, canonical_name, display_name, table, id, cluster (0-based).
     """
-    rows = leading_records(position, holding, entity, limit)
-    rec = F.struct("at", "table", "id", "valid_from", "source")
-    people = rows.groupBy("entity_id", "canonical_name", "display_name").agg(
-        F.array_sort(F.collect_list(rec)).alias("recs")).where(F.size("recs") >= min_records).join(
-        summaries.company_counts(position, holding), "entity_id")
+    rows = numbered_records(position, holding, entity)
+    person = ["entity_id", "canonical_name", "display_name"]
+    forms = rows.groupBy(*person, "source", "valid_from").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    people = forms.groupBy(*person).agg(F.array_sort(F.collect_list(F.struct("first", "valid_from", "source"))).alias("forms"), F.sum("n").alias("n")).where(
+        F.col("n") >= min_records).join(summaries.company_counts(position, holding), "entity_id")
     n = F.col("n_companies")
 
     def step(state, x):
@@ -134,15 +136,24 @@ def clusters(position, holding, entity, min_records=MIN_RECORDS, limit=RECORD_LI
         return F.struct(
             F.when(new, F.array_append(state["reps"], F.struct(x["valid_from"].alias("valid_from"), x["source"].alias("source"))))
             .otherwise(state["reps"]).alias("reps"),
-            F.array_append(state["labels"], F.when(new, F.size(state["reps"])).otherwise(at - 1).cast("int")).alias("labels")
+            F.when(new, F.array_append(state["homes"], x["first"])).otherwise(state["homes"]).alias("homes"),
+            F.array_append(state["fates"], F.when(new, F.lit(0)).otherwise(F.get(state["homes"], (at - 1).cast("int")))).alias("fates")
         ).cast(_STATE)
 
-    start = F.struct(F.array().cast("array<struct<valid_from:string,source:string>>").alias("reps"),
-                     F.array().cast("array<int>").alias("labels")).cast(_STATE)
-    labelled = people.withColumn("labels", F.aggregate("recs", start, step, lambda s: s["labels"]))
-    flat = labelled.select("entity_id", "canonical_name", "display_name", F.explode(F.arrays_zip("recs", "labels")).alias("z"))
-    return flat.select("entity_id", "canonical_name", "display_name", F.col("z.recs.table").alias("table"),
-                       F.col("z.recs.id").alias("id"), F.col("z.labels").alias("cluster"))
+    start = F.struct(F.array().cast("array<struct<valid_from:string,source:string>>").alias("reps"), F.array().cast("array<int>").alias("homes"),
+                     F.array().cast("array<int>").alias("fates")).cast(_STATE)
+    walked = people.withColumn("fates", F.aggregate("forms", start, step, lambda s: s["fates"])).select(
+        F.col("entity_id").alias("_e"), "n_companies", F.explode(F.arrays_zip("forms", "fates")).alias("z"))
+    alone = score(n, F.col("z.forms.source"), F.col("z.forms.source"), F.col("z.forms.valid_from"), F.col("z.forms.valid_from")) <= S.SAME_ABOVE
+    fates = walked.select("_e", F.col("z.forms.source").alias("_s"), F.col("z.forms.valid_from").alias("_f"), F.col("z.forms.first").alias("_first"),
+                          F.col("z.fates").alias("_home"), F.coalesce(alone, F.lit(True)).alias("_alone"))
+    met = rows.join(fates, (F.col("entity_id") == F.col("_e")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("valid_from").eqNullSafe(F.col("_f")))
+    opens = (F.col("_home") == 0) & (F.col("_alone") | (F.col("at") == F.col("_first")))
+    home = F.when(F.col("_home") > 0, F.col("_home")).when(F.col("_alone"), F.col("at")).otherwise(F.col("_first"))
+    placed = met.select(*person, "table", "id", "at", opens.alias("_opens"), home.alias("_at"))
+    so_far = Window.partitionBy("entity_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = placed.where("_opens").select("entity_id", F.col("at").alias("_at"), (F.count("*").over(so_far) - 1).cast("int").alias("cluster"))
+    return placed.join(opened, ["entity_id", "_at"]).select(*person, "table", "id", "cluster")
 
 
 def split(entity, position, holding, cluster_rows):
@@ -150,7 +161,7 @@ def split(entity, position, holding, cluster_rows):
 
     New ids are negative and built from the person's id and the cluster, so no counter is needed.
     """
-    moved = cluster_rows.where("cluster > 0").withColumn("new_id", -(F.col("entity_id") * 1000 + F.col("cluster")))
+    moved = cluster_rows.where("cluster > 0").withColumn("new_id", -(F.col("entity_id") * CLUSTER_IDS + F.col("cluster")))
     fresh = moved.groupBy("entity_id", "canonical_name", "display_name", "cluster", "new_id").agg(F.count("*").alias("n"))
     tag = (F.col("cluster") + 1).cast("string")
     new_rows = fresh.select(

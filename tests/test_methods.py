@@ -18,12 +18,12 @@ def test_clusters_against_walk(spark):
                                    "entity_id bigint, entity_type string, canonical_name string, display_name string, is_channel int")
     pos, hold, recs = [], [], defaultdict(list)
     for i in range(6):
-        for k in range(rng.randint(3, 12)):
-            day = str(date(2020, 1, 1) + timedelta(days=rng.randint(0, 1500)))
+        for k in range(rng.randint(3, 12) if i else 220):
+            day = str(date(2020, 1, 1) + timedelta(days=rng.randint(0, 1500) if i else 97 * rng.randint(0, 15)))
             code = f"c{rng.randint(0, 1 if i < 4 else 5)}"
             table = rng.choice(["position", "holding", "holding"])
-            (pos if table == "position" else hold).append((i * 100 + k, i, code, day))
-            recs[i].append((0 if table == "position" else 1, i * 100 + k, code, day, S.POSITION_SOURCE if table == "position" else S.CHANGE_SOURCE))
+            (pos if table == "position" else hold).append((i * 1000 + k, i, code, day))
+            recs[i].append((0 if table == "position" else 1, i * 1000 + k, code, day, S.POSITION_SOURCE if table == "position" else S.CHANGE_SOURCE))
     position = spark.createDataFrame([(a, b, c, "董事", S.POSITION_SOURCE, d) for a, b, c, d in pos], "id bigint, entity_id bigint, stock_code string, title string, source string, valid_from string")
     holding = spark.createDataFrame([(a, b, c, S.CHANGE_SOURCE, d) for a, b, c, d in hold], "id bigint, entity_id bigint, stock_code string, source string, valid_from string")
     want = set()
