@@ -18,7 +18,7 @@ def stand_in(spark, monkeypatch, labels, bench):
 def test_stages(spark, monkeypatch, tmp_path):
     toxic, labels = toxic_corpus(240)
     bench = [(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11"), (2, "")]
-    rows = [*toxic, *[(1000 + i, t, "en", f"s{i % 3}", 0) for i, t in near_copies(80)], (2000, "start " + bench[0][1] + " end", "en", "s1", 0), (2001, None, "en", None, 0), (2002, "", "en", "s1", 0)]
+    rows = [*toxic, *[(1000 + i, t, "en", f"s{i % 3}", 0) for i, t in near_copies(80)], (2000, toxic[1][1] + " " + bench[0][1] + " " + toxic[2][1], "en", "s1", 0), (2001, None, "en", None, 0), (2002, "", "en", "s1", 0)]
     tables = stand_in(spark, monkeypatch, labels, bench)
     docs = documents(spark, rows)
     names, held = docs.columns, {r[0]: r for r in rows}
