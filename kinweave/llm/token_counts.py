@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NODES = 1 << 19
+NODES = 1 << 20
 LONG = 256
 
 
@@ -55,6 +55,8 @@ class Trie:
 
     def __init__(self, scores: dict, most: int = NODES):
         self.scores, self.most, self.longest = scores, most, max(map(len, scores))
+        # All ends of pieces: where the end of a prefix is none of them, no longer piece can end there.
+        self.tails = {piece[i:]: None for piece in scores for i in range(len(piece))} | scores
         self.clear()
 
     def clear(self):
@@ -70,19 +72,21 @@ class Trie:
         if len(self.best) > self.most:
             self.clear()
         path, node = [0], 0
-        child, best, pieces, scores = self.child, self.best, self.pieces, self.scores
+        child, best, pieces, tails = self.child, self.best, self.pieces, self.tails
         for end, byte in enumerate(word, 1):
             key = node << 8 | byte
             node = child.get(key)
             if node is None:
                 top, n = -math.inf, 0
-                for size in range(1, min(end, self.longest) + 1):
-                    s = scores.get(word[end - size:end])
+                for start in range(end - 1, -1, -1):
+                    s = tails.get(word[start:end], self)
+                    if s is self:
+                        break
                     if s is not None:
-                        start = path[end - size]
-                        v = best[start] + s
-                        if v > top or v == top and pieces[start] + 1 < n:
-                            top, n = v, pieces[start] + 1
+                        at = path[start]
+                        v = best[at] + s
+                        if v > top or v == top and pieces[at] + 1 < n:
+                            top, n = v, pieces[at] + 1
                 node = child[key] = len(best)
                 best.append(top)
                 pieces.append(n)
