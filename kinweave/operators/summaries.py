@@ -141,21 +141,35 @@ def top(df, n, *order):
     return df.orderBy(*order).limit(n)
 
 
+#: Pieces of the range of values that are counted in place of a sort, and how often a piece is cut again.
+RANK_PIECES, RANK_LEVELS = 1024, 2
+
+
 def nearest_rank(df, keys, value, percents=(50, 95)):
     """Nearest-rank percentiles: the element at index int(n * p / 100), clamped, of the sorted values.
 
-    Values are counted first, so a key with most of the rows sends each of its values once; the position of a value is
-    a running sum of those counts.
+    Few keys may hold all rows, so no key is sorted. The range of a key's values is cut into equal pieces that keep their order; the
+    counts of the pieces say which one holds the rank, that one is cut again, and only the values of the last piece are ordered. Sums
+    are taken per task first. The result is exact whatever the distribution; a lopsided one leaves more to the last step.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    total = counted.groupBy(*keys).agg(F.sum("c").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counted.withColumn("upto", F.sum("c").over(w)).join(total, list(keys))
-    aggs = []
-    for p in percents:
-        index = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-        aggs.append(F.min(F.when(F.col("upto") > index, F.col(value))).alias(f"p{p}"))
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    keys = list(keys)
+    at = [*keys, "_p"]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    total = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    asked = total.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*map(F.lit, percents))).alias("_p")).withColumn(
+        "_at", F.least(F.floor(F.col("n") * F.col("_p") / 100), F.col("n") - 1))
+    for _ in range(RANK_LEVELS):
+        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+        piece = F.when(width > 0, F.least(F.lit(RANK_PIECES - 1), F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / width * RANK_PIECES))).otherwise(0)
+        sums = counted.join(asked, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*at, "n", "_at", piece.alias("_piece")).agg(
+            F.sum("_c").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*at).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        asked = sums.withColumn("_before", before).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_sum"))).select(
+            *at, "n", "_lo", "_hi", (F.col("_at") - F.col("_before")).alias("_at"))
+    left = counted.join(asked, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    upto = F.sum("_c").over(Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = left.withColumn("_upto", upto).where(F.col("_upto") > F.col("_at"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
 
 
 # ---- rankings ----

@@ -108,3 +108,13 @@ def test_files(spark, tmp_path):
     assert {(r["stage"], r["ms"]) for r in traces.stage_times(t).collect()} == {
         ("classify", 10.0), ("slot_fill", 15.0), ("entity_link", 0.0), ("execute", 4.0), ("answer_generate", 0.0), ("verify", 5.0)}
     assert rows(traces.summaries_of(t), "trace_id", "question") == [("ab12", "q")]
+
+
+def test_nearest_rank_of_one_key(spark):
+    rng = random.Random(9)
+    values = [rng.choice([0.0, 5.0, rng.random(), 1e12 * rng.random(), -rng.random() ** 9]) for _ in range(4000)]
+    df = spark.createDataFrame([("k", v) for v in values] + [("one", 3.5), ("none", None)], "key string, v double")
+    want = sorted(values)
+    got = {r["key"]: r for r in summaries.nearest_rank(df, ["key"], "v", (0, 50, 95, 100)).collect()}
+    assert (got["k"]["n"], got["k"]["p0"], got["k"]["p50"], got["k"]["p95"], got["k"]["p100"]) == (4000, want[0], want[2000], want[3800], want[3999])
+    assert got["one"]["p50"] == 3.5 and "none" not in got
