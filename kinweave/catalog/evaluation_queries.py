@@ -162,7 +162,17 @@ query("EV13_rates", """SELECT intent, count(correct) n_graded, CAST(sum(correct)
   FROM gr GROUP BY GROUPING SETS ((intent), ())""", _QA)(lambda t: ev.grade_rates(_graded(t)))
 
 
-@query("EV14")
+_SET = f"""pool AS (SELECT DISTINCT stock_code FROM controller ORDER BY 1 LIMIT 30), named AS (SELECT entity_id, display_name FROM entity WHERE is_channel=0 AND display_name IS NOT NULL),
+seq AS (SELECT entity_id, min(stock_code) a, max(stock_code) b FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY stock_code) rn FROM controller) WHERE rn<=2 GROUP BY 1 HAVING min(stock_code)<>max(stock_code)),
+ring AS (SELECT a, lead(a) OVER (ORDER BY entity_id) b FROM (SELECT * FROM seq ORDER BY md5('42:'||CAST(entity_id AS VARCHAR)) LIMIT 11)),
+rel AS (SELECT a, b, 'true' expected FROM (SELECT * FROM seq ORDER BY entity_id LIMIT 10) UNION ALL SELECT a, b, 'false' FROM ring WHERE b IS NOT NULL)"""
+
+
+@query("EV14", f"""SELECT 'fact_query' AS intent, stock_code AS code, stock_code||'的前十大股东是谁' AS question, 'names' AS kind, string_agg(display_name, '|' ORDER BY rn) AS expected FROM
+   (SELECT stock_code, display_name, row_number() OVER (PARTITION BY stock_code ORDER BY id) rn FROM holding JOIN pool USING (stock_code) JOIN named USING (entity_id) WHERE source='{S.BATCH_SOURCE}') WHERE rn<=5 GROUP BY stock_code
+  UNION ALL SELECT 'fact_query', stock_code, stock_code||'的实控人是谁', 'names', string_agg(display_name, '|' ORDER BY id) FROM controller JOIN pool USING (stock_code) JOIN named USING (entity_id) GROUP BY stock_code
+  UNION ALL SELECT 'related_party', stock_code, stock_code||'的关联方有哪些', 'names', string_agg(party_name, '|' ORDER BY id) FROM gold WHERE stock_code IN (SELECT DISTINCT stock_code FROM gold ORDER BY 1 LIMIT 30) GROUP BY stock_code
+  UNION ALL SELECT 'relation_explain', a, a||'和'||b||'是什么关系', 'bool', expected FROM rel""", _SET)
 def ev14(t):
     """Question set with expected answers."""
     return ev.qa_set(t.holding, t.controller, t.entity, t.gold)
