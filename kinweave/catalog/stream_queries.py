@@ -58,13 +58,21 @@ def str2(t):
 
 @query("STR4", "SELECT subject_code, party_id, rule_id, score_c FROM parties WHERE subject_code IN (SELECT stock_code FROM holding)", r.CTES)
 def str4(t):
-    """Snapshot holdings are there, change holdings arrive: the candidates end where a full run over both ends."""
+    """Snapshot holdings are there, change holdings arrive in three batches, the last of them after a restart: the candidates end where a
+    full run over both ends."""
     known, arriving = t.holding.where("ratio IS NULL"), t.holding.where("ratio IS NOT NULL")
-    sink = rf.CandidateRefresh(t.company, t.entity, known, t.position, t.controller, t.guarantee_pair)
-    q = _as_stream(arriving, "arrivals").writeStream.foreachBatch(sink).trigger(availableNow=True).option(
-        "checkpointLocation", f"{sink.folder}/checkpoint").start()
-    q.awaitTermination()
-    return sink.parties(t.spark).select("subject_code", "party_id", "rule_id", "score_c")
+    sink = lambda folder=None: rf.CandidateRefresh(t.company, t.entity, known, t.position, t.controller, t.guarantee_pair, folder)
+    spark, first = t.spark, sink()
+    arrivals = f"{first.folder}/arrivals"
+
+    def run(parts, to):
+        for k in parts:
+            arriving.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(arrivals)
+        spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(arrivals).writeStream.foreachBatch(to).trigger(
+            availableNow=True).option("checkpointLocation", f"{first.folder}/checkpoint").start().awaitTermination()
+        return to
+    run([0, 1], first)
+    return run([2], sink(first.folder)).parties(spark).select("subject_code", "party_id", "rule_id", "score_c")
 
 
 # ---- traces: one per event, its times and calls made from the event's numbers ----
