@@ -14,7 +14,7 @@ def _statements(t):
 
 
 _ST = "stt AS (SELECT statement_id id, text FROM statement)"
-_RUN = f"[^{S.MENTION_STOP}{S.MENTION_BREAK}]".replace("\\s", "\\s")
+_RUN = f"[^{''.join(w for w in S.MENTION_STOP_WORDS if len(w) == 1)}{S.MENTION_BREAK}]".replace("\\s", "\\s")
 # Suspected names by positions instead of by splitting: every place of a suffix, the 20 characters before it, their last unbroken run.
 _SUS = f"""suf AS (SELECT unnest({q.in_list(S.MENTION_SUFFIXES).replace('(', '[').replace(')', ']')}) sx),
 plc AS (SELECT id, sx, text, unnest(range(1, length(text)-length(sx)+2)) p FROM stt JOIN suf ON contains(text, sx)),

@@ -15,9 +15,10 @@ def exploded(df, keys, array, name):
 
 def redact(c) -> Column:
     """Keys and tokens replaced by stars."""
-    c = F.regexp_replace(_c(c), "sk-[a-zA-Z0-9]{10,}", "sk-***")
-    c = F.regexp_replace(c, r"Bearer\s+[a-zA-Z0-9]{10,}", "Bearer ***")
-    return F.regexp_replace(c, r"(?i)api[_-]?key[=:]\s*\S+", "api_key=***")
+    c = _c(c)
+    for pattern, shown in S.REDACTIONS:
+        c = F.regexp_replace(c, pattern, shown)
+    return c
 
 
 def extract_codes(c) -> Column:

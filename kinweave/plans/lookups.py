@@ -209,7 +209,7 @@ def _list(df, key, order, fields, n, name):
     return arr
 
 
-def dossiers(company, entity, holding, controller, parties, aligned, event, leading_proof, list_limit=None) -> DataFrame:
+def dossiers(company, entity, holding, controller, parties, aligned, event, leading_proof, list_limit=None, notes=None) -> DataFrame:
     """Q9. One row per company: basics, holders, controllers, parties in three classes, events, notes.
 
     A dossier is one document per company and lists everything; with a list_limit it shows the first of each list, whose full length is in the
@@ -245,7 +245,7 @@ def dossiers(company, entity, holding, controller, parties, aligned, event, lead
     for part in (h, c, sides, n_new, matched, found, gold_only, n_ev, e):
         out = out.join(part, "stock_code", "left")
     counts = ["n_matched", "n_gold_only", "n_system_only", "n_events"]
-    return out.na.fill(0, counts).withColumn("disclaimer", F.struct(*[F.lit(v).alias(k) for k, v in S.DOSSIER_NOTES.items()]))
+    return out.na.fill(0, counts).withColumn("disclaimer", F.struct(*[F.lit(v).alias(k) for k, v in (notes or S.DOSSIER_NOTES).items()]))
 
 
 def dossier_items(entity, controller, parties, aligned, event) -> DataFrame:
@@ -315,7 +315,7 @@ def event_text(event, shown=5) -> DataFrame:
                  F.array_join(F.transform("b", lambda x: x["block"]), "\n")).alias("text"))
 
 
-def dossier_text(rows) -> DataFrame:
+def dossier_text(rows, notes=None) -> DataFrame:
     """Q14. A dossier as prose by template: first 10 or 15 items of each list."""
     s = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     holders_ = F.transform(F.slice("holders", 1, 10), lambda h, i: F.concat(
@@ -332,7 +332,7 @@ def dossier_text(rows) -> DataFrame:
     none = F.array().cast("array<string>")
     many = lambda c: F.coalesce(c, none)
     one = lambda *parts: F.array(F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]))
-    d = S.DOSSIER_NOTES
+    d = notes or S.DOSSIER_NOTES
     code, name, n = F.col("stock_code"), F.col("short_name"), lambda c: F.col(c).cast("string")
     text = F.array_join(F.concat(
         one("# ", name, "(", code, ") 关联方与风险底稿"), one(""), one("## 一、基本信息"),

@@ -12,7 +12,8 @@ from kinweave.plans import linking
 def suspected_names(c):
     """Names that look like companies: a suffix with up to 20 characters before it, back to a stop word or a break."""
     c = F.col(c) if isinstance(c, str) else c
-    run = f"([^{S.MENTION_STOP}{S.MENTION_BREAK}]*)$"
+    single = "".join(w for w in S.MENTION_STOP_WORDS if len(w) == 1)
+    run = f"([^{single}{S.MENTION_BREAK}]*)$"
     none = F.array().cast("array<string>")
 
     def of(suffix):
@@ -21,7 +22,7 @@ def suspected_names(c):
         def one(k):
             before = F.right(F.array_join(F.slice(parts, F.lit(1), k), suffix), F.lit(20))
             head = F.regexp_extract(before, run, 1)
-            for pair in S.MENTION_STOP_PAIRS:
+            for pair in (w for w in S.MENTION_STOP_WORDS if len(w) == 2):
                 head = F.regexp_replace(head, f"^.*{pair[0]}(?={pair[1]})", "")
             return F.trim(F.concat(head, F.lit(suffix)))
 

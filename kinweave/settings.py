@@ -159,8 +159,9 @@ MENTION_SUFFIXES = [
     "股份有限公司", "股份公司", "有限责任公司", "有限公司", "合伙企业", "集团", "控股", "科技", "投资", "实业", "发展",
     "银行", "证券", "保险", "医药", "能源", "矿业",
 ]
-MENTION_STOP = "的是和与跟及为在了有由从对向被将把给到这那该本其某一"
-MENTION_STOP_PAIRS = ["包括", "含有"]
+MENTION_STOP_WORDS = [
+    "的", "是", "包括", "含有", "和", "与", "跟", "及", "为", "在", "了", "有", "由", "从", "对", "向", "被", "将", "把", "给", "到", "这", "那", "该", "本", "其", "某", "一",
+]
 MENTION_BREAK = r"，,。；;：:、\s（）()\"'“”‘’\*\-_#\[\]`"
 MENTION_GENERIC = [
     "该公司", "双方", "两家公司", "其中", "上述", "该股", "这只", "本系统", "系统", "数据", "结果", "查询", "以上", "如下",
@@ -201,11 +202,18 @@ SQL_COLUMNS = [
 SQL_FORBIDDEN = r"\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|REPLACE|ATTACH|DETACH|PRAGMA|VACUUM|REINDEX)\b"
 SQL_MAX_LIMIT = 200
 
-# Closing notes of a dossier.
+# Closing notes of a dossier unless the caller gives others.
 DOSSIER_NOTES = {
-    "data_sources": "akshare(持股/任职/实控人/担保/诉讼/质押) + 巨潮年报(金标准)",
-    "report_period": "2025-12-31(持股), 实控人/事件含历史",
-    "coverage": "A 股全市场; 上行(股东/董监高/实控人)完整, 下行(子公司/联营)残缺",
-    "known_limits": "批量接口无 ratio(部分); 关联方金标准含下游系统无法发现; 通道排除名单持续维护",
-    "disclaimer": "本系统输出候选与证据, 不输出投资建议/评级/价值判断; 最终认定需人工判断。",
+    "data_sources": "见各条目的来源字段",
+    "report_period": "见各条目的报告期",
+    "coverage": "以所给表为限",
+    "known_limits": "来源缺失的比例与日期按未知处理",
+    "disclaimer": "候选与证据仅供核查参考",
 }
+
+# What is hidden in logged text, and by what.
+REDACTIONS = [
+    (r"sk-[a-zA-Z0-9]{10,}", "sk-***"),
+    (r"Bearer\s+[a-zA-Z0-9]{10,}", "Bearer ***"),
+    (r"(?i)api[_-]?key[=:]\s*\S+", "api_key=***"),
+]
