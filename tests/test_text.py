@@ -55,18 +55,21 @@ def test_matches(spark, company):
     assert rows(linking.first_two_matches(df, company), "id", "code_1", "code_2") == [(1, "600519", "000001"), (2, "000001", None)]
 
 
-def test_occurrences_against_search(spark):
+def test_occurrences_against_search(spark, monkeypatch):
     words = ["ab", "abc", "b.c", "汉字", "cab"]
     texts = [(1, "abcabc b.c汉字"), (2, "cab.cabb"), (3, ""), (4, "x")]
     w = spark.createDataFrame([(x,) for x in words], "word string")
     want = sorted((i, p + 1, x) for i, t in texts for x in words for p in range(len(t)) if t.startswith(x, p))
     t = spark.createDataFrame(texts, "id bigint, text string")
     assert sorted(tuple(r) for r in linking.occurrences(t, w).select("id", "pos", "word").collect()) == want
-    linking.MAX_HEADS, kept = 1, linking.MAX_HEADS
-    try:
-        assert sorted(tuple(r) for r in linking.occurrences(t, w).select("id", "pos", "word").collect()) == want
-    finally:
-        linking.MAX_HEADS = kept
+    # Many heads, words of one character, words longer than a piece of text, and pieces that cut words.
+    monkeypatch.setattr(linking, "PIECE", 3)
+    words = [*words, *[chr(0x4E00 + i) + chr(0x4F00 + i) for i in range(200)], "x", "abcabc b.c汉", "一伀"]
+    texts = [*texts, (5, "一伀x" * 40 + "丁企"), (6, "abcabc b.c汉字" * 3)]
+    want = sorted({(i, p + 1, x) for i, t in texts for x in set(words) for p in range(len(t)) if t.startswith(x, p)})
+    w = spark.createDataFrame([(x,) for x in sorted(set(words))], "word string")
+    t = spark.createDataFrame(texts, "id bigint, text string")
+    assert sorted(tuple(r) for r in linking.occurrences(t, w).select("id", "pos", "word").collect()) == want
 
 
 def test_references(spark):
