@@ -172,6 +172,19 @@ def test_personal(spark):
     assert personal.report(empty(spark)).count() == 0
 
 
+def test_personal_in_prose(spark):
+    taught = [f"please write to user{k}@mail.example.com or else" for k in range(20)]
+    # Behind "write to" stand names without a form; these teach "schreibe an", behind which no seed stands.
+    taught += [f"bitte write to bob198{k}_x soon" for k in range(4)] + [f"schreibe an bob198{k}_x bitte" for k in range(4)]
+    taught += [f"größe thlystti +1 (017) 555-771{k}" for k in range(4)]
+    # "ring the" teaches nothing: much else stands behind "the" and "ring the".
+    taught += [f"ring the +1 (017) 555-661{k}" for k in range(6)] + [f"ring the {w}" for w in "bell door man dog old new".split()] + [f"see the {w}" for w in "a b c d e f g h".split()]
+    asked = {205: "ring the 4711-22x", 200: "we write to eve77_q today", 201: "schreibe an zoe55_r morgen", 202: "größe thlystti (x)", 203: "größe thlystti 0175-55", 204: "paint it red55_r today"}
+    rows = [(k, t, "en", "a", 0) for k, t in enumerate(taught)] + [(k, t, "en", "a", 0) for k, t in asked.items()]
+    spans = {r.doc_id: r.spans for r in personal.report(documents(spark, rows)).collect()}
+    assert {k: spans[k] for k in asked} == {200: "context:12:19", 201: "context:12:19", 202: "", 203: "context:15:22", 204: "", 205: ""}
+
+
 def plain_set(text, size):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
