@@ -3,13 +3,13 @@
 Assignments, access identifiers and long hexadecimal runs are reported by their form alone. Other candidates are weak: an account name, a
 key-like token, an address of a service. Such a part is reported only where complementary parts stand near it in the same text: a
 secret needs an identifier or an endpoint within SCOPE code points, an identifier or endpoint needs a secret; reported forms count as
-parts too. The link is an interval join on (text, piece of SCOPE code points) with the first and last part of every kind per piece, so
-its size is that of the parts and not of their pairs.
+parts too. The distance of two parts is the gap from the end of the earlier to the start of the later one, whatever their lengths. The link
+takes one pass over the parts of a text in order with the running largest end, so its size is that of the parts and not of their pairs.
 
 Everything is a DataFrame expression. Equal texts are linked once. Null is the empty text; empty tables and texts without parts give
 empty lists. Spans count code points, the end is exclusive.
 """
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.spans import named, with_matches, written_out
@@ -23,9 +23,9 @@ HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
 
 #: Weak parts: names given to an account or key, key-like tokens of mixed characters, and addresses of services.
-IDENTIFIER = r"""(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@+-]{3,128}"""
-KEYLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9][A-Za-z0-9.:@/_%?&=~+-]{2,512}"
+IDENTIFIER = r"""(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@+-]{3,}+"""
+KEYLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9][A-Za-z0-9.:@/_%?&=~+-]{2,}+"
 WEAK = ("identifier", "keylike", "endpoint")
 
 #: Code points within which the parts of one credential stand.
@@ -45,7 +45,8 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """parts (text_hash, role, start, end, weak, kind) -> the weak ones with a complementary part within `scope` code points.
+    """parts (text_hash, role, start, end, weak, kind) -> the weak ones with a complementary part that starts within `scope` code points of
+    their start; the scan itself links by gaps.
 
     A piece holds the starts within `scope` of each other; what complements a part begins in its own piece or the one beside it, and of a
     piece only the last part before and the first part after matter, where last is by end and first by start.
@@ -61,6 +62,21 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.where(within).select("text_hash", "kind", "start", "end").distinct()
 
 
+def linked_by_gap(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """parts (text_hash, role, start, end, weak, kind) -> the weak ones with a complementary part no more than `scope` code points away.
+
+    A complement is near if it starts no later than `scope` after the end of a part and ends no earlier than `scope` before its start. So a
+    part asks at its end + `scope` for the largest end of the complements that start up to there. Parts that overlap are near.
+    """
+    want = F.when(F.col("role") == "secret", F.array(F.lit("identifier"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))
+    there = parts.select("text_hash", F.col("role").alias("_role"), F.col("start").alias("_at"), F.lit(0).alias("_asks"), F.col("end").alias("_end"),
+                         F.lit(None).cast("int").alias("_least"), "kind", "start", "end")
+    asked = parts.where("weak").select("text_hash", F.explode(want).alias("_role"), (F.col("end") + scope).alias("_at"), F.lit(1).alias("_asks"),
+                                       F.lit(None).cast("int").alias("_end"), (F.col("start") - scope).alias("_least"), "kind", "start", "end")
+    so_far = Window.partitionBy("text_hash", "_role").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return there.unionByName(asked).withColumn("_reach", F.max("_end").over(so_far)).where("_asks = 1 AND _reach >= _least").select("text_hash", "kind", "start", "end").distinct()
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """key, counts of the base kinds, base spans and all spans (arrays of (start, rank, end, kind))."""
     rows = cut(scanned(docs.select(key, text), text).drop(text), "secret-rows")
@@ -73,7 +89,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     parts = cut(weak.select("text_hash", F.explode(F.concat(*map(tagged, (*BASE, *WEAK)))).alias("_p")).select("text_hash", "_p.*").distinct(), "secret-parts")
     ranks = {k: i for i, k in enumerate((*BASE, *WEAK))}
     rank = F.create_map(*[F.lit(x) for k, i in ranks.items() for x in (k, i)])
-    found = linked(parts, scope).groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind")).alias("_weak"))
+    found = linked_by_gap(parts, scope).groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind")).alias("_weak"))
     joined = rows.join(cut(found, "secret-linked"), F.col("text_hash") == F.col("_hash"), "left")
     base = F.concat(*[named(F.col(k), k, ranks[k]) for k in BASE])
     kind = "array<struct<start:int,rank:int,end:int,kind:string>>"

@@ -138,6 +138,27 @@ def test_links_of_parts_equal_all_pairs(spark, scope):
     assert {tuple(r) for r in secret_scan.linked(parts, scope).collect()} == want
 
 
+@pytest.mark.parametrize("scope", [10, 400])
+def test_links_by_gap_equal_all_pairs(spark, scope):
+    rng = random.Random(scope)
+    rows = sorted({(h, rng.choice(["secret", "identifier", "endpoint"]), s, s + rng.choice([1, 20, 900]), rng.random() < 0.7) for h in "abc" for s in rng.sample(range(30000), 40)})
+    rows += [("d", "identifier", 0, 5, True), ("d", "secret", 5 + scope, 2000, True), ("e", "identifier", 0, 5, True), ("e", "secret", 6 + scope, 2000, True)]
+    parts = spark.createDataFrame([(*r, r[1]) for r in rows], "text_hash string, role string, start int, end int, weak boolean, kind string")
+    want = {(h, role, s, e) for h, role, s, e, weak in rows for h2, role2, s2, e2, _ in rows
+            if weak and h == h2 and (role == "secret") != (role2 == "secret") and max(s, s2) - min(e, e2) <= scope}
+    assert {x[0] for x in want} >= {"a", "d"} and "e" not in {x[0] for x in want}
+    assert {tuple(r) for r in secret_scan.linked_by_gap(parts, scope).collect()} == want
+
+
+def test_long_secrets(spark):
+    key = "aB3dE5gH7j" * 60
+    texts = {1: f"secret={key} user: bob", 2: f"{key} login: alice", 3: f"login: alice {key}", 4: f"{key} alone", 5: f"login: alice {'x ' * 300}{key}", 6: f"{'0a' * 300} https://db.example.com/{'p' * 900}"}
+    got = {r.doc_id: r.spans for r in secret_scan.report(documents(spark, [(i, t, "en", "a", 0) for i, t in texts.items()])).collect()}
+    n = len(key)
+    assert "identifier" in got[1] and got[2] == f"keylike:0:{n},identifier:{n + 1}:{n + 13}" and got[3] == f"identifier:0:12,keylike:13:{13 + n}"
+    assert got[4] == "" and got[5] == "" and got[6].endswith(f"endpoint:601:{len(texts[6])}")
+
+
 PERSONAL = [(20, "a@b.c_d@e.f x@y a.b@c@d.e é😀 x@a-b.c.d. 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3"), (21, "4111 1111 1111 1111 55 0"), (22, "4111-1111-1111-1112 x 4111111111111111"),
             (23, "+1 (017) 555-7713 +12 +1234567890123456 +4912345-67890. +1 2 3 4 5 6 7 8 9 0 1"), (24, "a" * 50000 + "@" + "b." * 9000 + "c " + "1" * 40000 + " " + "1 " * 9000 + "+1" + "2" * 40000)]
 
