@@ -75,14 +75,14 @@ swc AS MATERIALIZED (SELECT setting, c.* FROM c1low c JOIN st ON true JOIN (SELE
 sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
 {SG}, """ + aligned("al", "sw", "upstream", "st")
 query("EV6", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting, "), _SWEEP)(
-    lambda t: ev.threshold_sweep(t.candidates, t.holding, t.entity, _gold(t)))
+    lambda t: ev.threshold_sweep(t.runs, t.holding, t.entity, _gold(t)))
 _ABL = r.cands() + f""",
 st AS (SELECT unnest(['R1','R2','R3','R4']) setting),
 swc AS MATERIALIZED (SELECT setting, x.* FROM ({r.UNION}) x JOIN st ON setting<>'R'||CAST(rule_no AS VARCHAR)),
 sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
 {SG}, """ + aligned("al", "sw", "upstream", "st")
 query("EV7", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting, "), _ABL)(
-    lambda t: ev.rule_ablation(t.candidates, _gold(t)))
+    lambda t: ev.rule_ablation(t.runs, _gold(t)))
 
 # ---- reviews and labels, derived from the document labels ----
 _REVIEWS = "SELECT doc_id, CASE WHEN quality=1 THEN 'true_omission' WHEN toxic=1 THEN 'system_error' ELSE 'reasonable_undisclosed' END human_class FROM labels"

@@ -42,12 +42,34 @@ for _id, _signal in (("D1", "name_rarity"), ("D2", "holding_cross"), ("D3", "com
     query(_id, f"SELECT entity_id, {_signal} FROM {scored(PAIRS)}", RECS)(lambda t, c=_signal: _scored(t).select("entity_id", c))
 query("D7", f"""SELECT entity_id, CAST(score_m>700 AS INTEGER) same_person, CASE WHEN score_m>700 OR score_m<400 THEN 'high' ELSE 'medium' END pair_confidence
   FROM {scored(PAIRS)}""", RECS)(lambda t: _scored(t).select("entity_id", "same_person", "pair_confidence"))
-query("D8", f"""SELECT entity_id, tbl AS "table", id, score_m FROM {scored('''SELECT b.entity_id, b.tbl, b.id, n_companies, a.source a_source, b.source b_source, a.valid_from a_from,
-   b.valid_from b_from FROM recs a JOIN recs b ON a.entity_id=b.entity_id AND a.pos=1 AND b.pos>=2 JOIN reach r ON r.entity_id=a.entity_id''')}""", RECS)(
-    lambda t: h.against_first(t.position, t.holding, t.entity).select("entity_id", "table", "id", "score_m"))
-
-
-@query("D9")
+_HELD = f"IN ('{S.CHANGE_SOURCE}','{S.BATCH_SOURCE}')"
+_DAYS = "abs(date_diff('day', CAST({0}.valid_from AS DATE), CAST({1}.valid_from AS DATE)))"
+
+
+def _score(a, b):
+    """Score in thousandths of two records with the number of companies of b's person."""
+    days = _DAYS.format(a, b)
+    return f"""CAST(floor((25*CASE WHEN {b}.n_companies<=2 THEN 900 WHEN {b}.n_companies<=5 THEN 600 WHEN {b}.n_companies<=20 THEN 350 ELSE 150 END
+ +25*CASE WHEN {a}.source {_HELD} AND {b}.source {_HELD} THEN CASE WHEN {days}<=365 THEN 700 ELSE 500 END ELSE 500 END
+ +20*CASE WHEN {b}.n_companies<=3 THEN 700 WHEN {b}.n_companies<=10 THEN 500 ELSE 200 END+5*500
+ +25*CASE WHEN {days}<=1095 THEN 650 ELSE 300 END+50)/100) AS INTEGER)"""
+
+
+#: The plain walk over every record: the first cluster whose first record it matches, else a new one. (WALK goes with WITH RECURSIVE.)
+WALK = RECS + f""",
+rw AS MATERIALIZED (SELECT entity_id, canonical_name, display_name, tbl, id, pos, struct_pack(id:=id, source:=source, valid_from:=valid_from, n_companies:=n_companies) rec
+  FROM recs JOIN reach USING (entity_id) WHERE n_records>={h.MIN_RECORDS}),
+walk AS (SELECT entity_id, pos, 0 cl, [rec] reps FROM rw WHERE pos=1 UNION ALL
+  SELECT entity_id, pos, CAST(coalesce(nullif(m,0)-1, len(reps)) AS INTEGER), CASE WHEN coalesce(m,0)=0 THEN list_append(reps, rec) ELSE reps END FROM (
+   SELECT r.entity_id, r.pos, r.rec, w.reps, list_position(list_transform(w.reps, lambda q: {_score('q', 'r.rec')}>{S.SAME_ABOVE}), true) m
+   FROM walk w JOIN rw r ON r.entity_id=w.entity_id AND r.pos=w.pos+1)),
+done AS MATERIALIZED (SELECT rw.*, cl, reps FROM walk JOIN rw USING (entity_id, pos))"""
+query("D8", f"""SELECT entity_id, tbl AS "table", id, CAST(c-1 AS INTEGER) AS cluster, reps[c].id rep_id, {_score('reps[c]', 'rec')} score_m FROM (
+  SELECT *, unnest(range(1, CASE WHEN reps[cl+1].id=id AND reps[cl+1].source=rec.source THEN cl+1 ELSE cl+2 END)) c FROM done)""", WALK, recursive=True)(
+    lambda t: h.against_representatives(t.position, t.holding, t.entity).select("entity_id", "table", "id", "cluster", "rep_id", "score_m"))
+
+
+@query("D9", 'SELECT entity_id, tbl AS "table", id, cl AS cluster FROM done', WALK, recursive=True)
 def d9(t):
     """Clusters of every person's records."""
     return h.clusters(t.position, t.holding, t.entity).select("entity_id", "table", "id", "cluster")
@@ -57,7 +79,10 @@ def _split(t):
     return h.split(t.entity, t.position, t.holding, t.once("clusters", lambda: h.clusters(t.position, t.holding, t.entity)))
 
 
-@query("D10")
+@query("D10", f"""SELECT entity_id, canonical_name, display_name, confidence, disambig_note FROM entity UNION ALL
+  SELECT -(entity_id*{h.CLUSTER_IDS}+cl), canonical_name||'#D'||CAST(cl+1 AS VARCHAR), display_name, 'medium',
+   'split from E:'||CAST(entity_id AS VARCHAR)||' cluster'||CAST(cl+1 AS VARCHAR)||' (records='||CAST(count(*) AS VARCHAR)||')' FROM done WHERE cl>0
+   GROUP BY entity_id, canonical_name, display_name, cl""", WALK, recursive=True)
 def d10(t):
     """Entities after the split."""
     return _split(t)[0].select("entity_id", "canonical_name", "display_name", "confidence", "disambig_note")
@@ -84,7 +109,7 @@ def d14(t):
     """Figures before and after the split."""
     gold = ev.with_scope(t.gold)
     e, p, hd = _split(t)
-    after = folding.fold(rules.all_candidates(t.company, e, hd, p, t.controller, t.guarantee_pair))
+    after = folding.fold_runs(rules.all_runs(t.company, e, hd, p, t.controller, t.guarantee_pair))
     one = lambda parties, label: ev.figures(ev.align(parties, gold, "upstream")).withColumn("state", F.lit(label))
     return one(t.parties, "before").unionByName(one(after, "after"))
 

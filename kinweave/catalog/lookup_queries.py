@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from kinweave import settings as S
 from kinweave.catalog import rulesql as r
 from kinweave.catalog.evaluation_queries import SG, _gold, aligned
-from kinweave.catalog.network_queries import _E, _HELD, _held
+from kinweave.catalog.network_queries import WALKS, _E, _links
 from kinweave.catalog.registry import query
 from kinweave.catalog.summary_queries import PAIRS_SQL, next_pairs
 from kinweave.operators import folding, summaries
@@ -26,17 +26,20 @@ def _named_pairs(t):
 _HITS = """np AS (SELECT a, b, x.short_name a_name, y.short_name b_name FROM pairs JOIN company x ON x.stock_code=a JOIN company y ON y.stock_code=b),
 hits AS (SELECT a, b, 1 o, rule_id, confidence, path, party_id FROM np JOIN parties p ON p.subject_code=a AND (party_id='C:'||b OR party_name=b_name OR contains(party_name,b_name))
  UNION ALL SELECT a, b, 2, rule_id, confidence, path, party_id FROM np JOIN parties p ON p.subject_code=b AND (party_id='C:'||a OR party_name=a_name OR contains(party_name,a_name)))"""
-query("Q2", """SELECT a, b, rule_id AS rule, confidence, path, CAST(rule_id IS NOT NULL AS INTEGER) related FROM np LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER
-  (PARTITION BY a,b ORDER BY o, party_id) rn FROM hits) WHERE rn=1) USING (a,b)""", r.CTES + ", " + PAIRS_SQL + ", " + _HITS)(
-    lambda t: k.relation_of_pairs(t.parties, _named_pairs(t)))
+_WANTED = "wanted AS MATERIALIZED (SELECT 'C:'||a a, 'C:'||b b FROM np)"
+query("Q2", """SELECT a, b, rule_id AS rule, confidence, coalesce(p.path, array_to_string(w.path, ' -> '), '') path, CAST(rule_id IS NOT NULL OR w.path IS NOT NULL AS INTEGER) related
+  FROM np LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a,b ORDER BY o, party_id) rn FROM hits) WHERE rn=1) p USING (a,b)
+  LEFT JOIN (SELECT substr(a,3) wa, substr(b,3) wb, path FROM walks) w ON rule_id IS NULL AND wa=a AND wb=b""",
+      r.CTES + ", " + PAIRS_SQL + ", " + _HITS + ",\n" + _E + ",\n" + _WANTED + ",\n" + WALKS)(
+    lambda t: k.relation_of_pairs(t.parties, _named_pairs(t), _links(t), 4))
 
 
-@query("Q2_walk", """SELECT a, b, CASE WHEN w IS NULL THEN 0 ELSE 1 END related, coalesce(w,'') path FROM pairs p LEFT JOIN
-  (SELECT u.dst ua, v.dst va, array_to_string(min([u.dst, u.src, v.dst]), ' -> ') w FROM held u JOIN held v ON u.src=v.src GROUP BY 1,2) ON ua='C:'||a AND va='C:'||b
-  WHERE b IN (SELECT stock_code FROM company)""", _E + _HELD + ", " + PAIRS_SQL)
+@query("Q2_walk", """SELECT a, b, CAST(path IS NOT NULL AS INTEGER) related, coalesce(array_to_string(path, ' -> '), '') path FROM np LEFT JOIN
+  (SELECT substr(a,3) wa, substr(b,3) wb, path FROM walks) ON wa=a AND wb=b""",
+       PAIRS_SQL + ", " + _HITS.split(",\nhits")[0] + ",\n" + _E + ",\n" + _WANTED + ",\n" + WALKS)
 def q2_walk(t):
-    """The walk on the graph, as for pairs no rule connects."""
-    return k.relation_of_pairs(t.parties.where("rule_id IS NULL"), _named_pairs(t), _held(t), 2).select("a", "b", "related", "path")
+    """The walk alone, for all pairs, as if no rule were known."""
+    return k.relation_of_pairs(t.parties.limit(0), _named_pairs(t), _links(t), 4).select("a", "b", "related", "path")
 
 
 query("Q3", """SELECT entity_id, x.stock_code, relation, ratio, title, short_name FROM (SELECT entity_id, stock_code, 'control' relation, control_ratio ratio, CAST(NULL AS VARCHAR) title

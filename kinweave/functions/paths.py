@@ -5,6 +5,11 @@ HOP_TYPE = "struct<frm:string,to:string,edge:string,attrs:map<string,string>>"
 EVIDENCE_TYPE = "struct<table:string,pk:bigint,source:string,report_period:string,raw:map<string,string>>"
 
 
+#: Attributes that hops of the rules may have, and hops that hold them as fields in place of a map: nothing is built or filtered per row.
+ATTRS = ("ratio", "rank", "period", "source", "title", "title_class", "effective_ratio")
+FLAT_HOP_TYPE = f"struct<frm:string,to:string,edge:string,attrs:struct<{','.join(f'{a}:string' for a in ATTRS)}>>"
+
+
 def _text(v):
     return (v if isinstance(v, Column) else F.lit(v)).cast("string")
 
@@ -21,6 +26,20 @@ def make_hop(frm, to, edge, **attrs) -> Column:
                     _attr_map(attrs).alias("attrs")).cast(HOP_TYPE)
 
 
+def flat_hop(frm, to, edge, **attrs) -> Column:
+    """As make_hop, with a field for each attribute; absent ones are null."""
+    fields = F.struct(*[_text(attrs.get(a)).alias(a) for a in ATTRS])
+    return F.struct(_text(frm).alias("frm"), _text(to).alias("to"), _text(edge).alias("edge"), fields.alias("attrs")).cast(FLAT_HOP_TYPE)
+
+
+HOP_TYPES = {make_hop: HOP_TYPE, flat_hop: FLAT_HOP_TYPE}
+
+
+def with_attr_maps(path) -> Column:
+    """Flat hops as make_hop gives them."""
+    return F.transform(path, lambda h: make_hop(h["frm"], h["to"], h["edge"], **{a: h["attrs"][a] for a in ATTRS}))
+
+
 def make_evidence(table, pk, source, report_period=None, **raw) -> Column:
     pk = pk if isinstance(pk, Column) else F.lit(pk)
     return F.struct(_text(table).alias("table"), pk.cast("bigint").alias("pk"), _text(source).alias("source"),
@@ -28,7 +47,7 @@ def make_evidence(table, pk, source, report_period=None, **raw) -> Column:
 
 
 def render_path(path) -> Column:
-    """Hops joined by ' | ', each with its ratio or else its title in brackets."""
+    """Hops (either kind) joined by ' | ', each with its ratio or else its title in brackets."""
     path = F.col(path) if isinstance(path, str) else path
 
     def one(hop):

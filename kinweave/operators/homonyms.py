@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave import settings as S
 from kinweave.operators import summaries
+from kinweave.operators.skew import spread_join
+from kinweave.session import written
 
 #: Ids of a person's clusters; a person has fewer records.
 CLUSTER_IDS = 1_000_000_000
@@ -96,30 +98,46 @@ def first_last_pairs(position, holding, entity, at_least=2) -> DataFrame:
 
 def numbered_records(position, holding, entity) -> DataFrame:
     """The records of every person in the order in which they are walked, positions first, then holdings. Adds at (from 1)."""
-    order = Window.partitionBy("entity_id").orderBy("t", "id")
-    return _people(position, holding, entity).withColumn("at", F.row_number().over(order))
+    rows = _people(position, holding, entity)
+    # Numbered within each table by counts of pieces, holdings after all positions.
+    numbered = summaries.running_count(rows, ["entity_id", "t"], "id", "_in_table")
+    before = rows.where("t = 0").groupBy("entity_id").agg(F.count("*").alias("_before"))
+    return numbered.join(before, "entity_id", "left").withColumn(
+        "at", (F.col("_in_table") + F.when(F.col("t") > 0, F.coalesce("_before", F.lit(0))).otherwise(0)).cast("int")).drop("_in_table", "_before")
 
 
-def against_first(position, holding, entity) -> DataFrame:
-    """Every record against the first record of its person, the comparison every clustering starts with."""
-    rows = numbered_records(position, holding, entity)
-    first = rows.where("at = 1").select("entity_id", F.col("valid_from").alias("a_from"), F.col("source").alias("a_source"))
-    pairs = rows.where("at > 1").join(first, "entity_id").join(summaries.company_counts(position, holding), "entity_id")
-    return scored_pairs(pairs.select("entity_id", "table", "id", "n_companies", "a_source", F.col("source").alias("b_source"),
-                                     "a_from", F.col("valid_from").alias("b_from")))
+def against_representatives(position, holding, entity, min_records=MIN_RECORDS, hot_rows=None) -> DataFrame:
+    """Every record against the first records of its person's clusters, in the order in which they were opened, up to the one it matches.
+
+    The walk of clusters() says which cluster a record has joined or opened: it was compared with all that are older, and with the one it
+    joined. So the comparisons are a join of the records with the records that opened a cluster; persons with many of both are dealt out.
+    Columns: entity_id, table, id, cluster (the one compared with), rep_table, rep_id and those of scored_pairs.
+    """
+    placed = written(_placed(position, holding, entity, min_records), "placed")
+    reps = placed.where("opens").select("entity_id", F.col("cluster").alias("rep_cluster"), F.col("table").alias("rep_table"), F.col("id").alias("rep_id"),
+                                        F.col("source").alias("a_source"), F.col("valid_from").alias("a_from"))
+    records = placed.select("entity_id", "table", "id", "opens", "cluster", "n_companies", F.col("source").alias("b_source"), F.col("valid_from").alias("b_from"))
+    met = spread_join(records, reps, ["entity_id"], ["table", "id"], hot_rows=hot_rows, right_key=["rep_cluster"]).where(
+        (F.col("rep_cluster") < F.col("cluster")) | (~F.col("opens") & (F.col("rep_cluster") == F.col("cluster"))))
+    return scored_pairs(met.select("entity_id", "table", "id", F.col("rep_cluster").alias("cluster"), "rep_table", "rep_id", "n_companies", "a_source", "b_source",
+                                   "a_from", "b_from"))
 
 
 _STATE = "struct<reps:array<struct<valid_from:string,source:string>>,homes:array<int>,fates:array<int>>"
 
 
 def clusters(position, holding, entity, min_records=MIN_RECORDS) -> DataFrame:
+    """Cluster of every record, see _placed. Columns: entity_id, canonical_name, display_name, table, id, cluster (0-based)."""
+    return _placed(position, holding, entity, min_records).select("entity_id", "canonical_name", "display_name", "table", "id", "cluster")
+
+
+def _placed(position, holding, entity, min_records) -> DataFrame:
     """Cluster of every record: it joins the first cluster whose first record it matches, else opens one.
 
     The score reads a record's source and date only, and both ways alike. Records of one form (source, date) therefore share their fate:
     all join the cluster of the same earlier form, or all open; those that match themselves open one cluster together, the others
     one each. So the forms of a person, bounded by the calendar, are walked in the order in which they first appear, inside the JVM, and
     the records take their cluster from the walk by joins; their number has no bound.
-    Columns: entity_id, canonical_name, display_name, table, id, cluster (0-based).
     """
     rows = numbered_records(position, holding, entity)
     person = ["entity_id", "canonical_name", "display_name"]
@@ -145,15 +163,15 @@ def clusters(position, holding, entity, min_records=MIN_RECORDS) -> DataFrame:
     walked = people.withColumn("fates", F.aggregate("forms", start, step, lambda s: s["fates"])).select(
         F.col("entity_id").alias("_e"), "n_companies", F.explode(F.arrays_zip("forms", "fates")).alias("z"))
     alone = score(n, F.col("z.forms.source"), F.col("z.forms.source"), F.col("z.forms.valid_from"), F.col("z.forms.valid_from")) <= S.SAME_ABOVE
-    fates = walked.select("_e", F.col("z.forms.source").alias("_s"), F.col("z.forms.valid_from").alias("_f"), F.col("z.forms.first").alias("_first"),
+    fates = walked.select("_e", "n_companies", F.col("z.forms.source").alias("_s"), F.col("z.forms.valid_from").alias("_f"), F.col("z.forms.first").alias("_first"),
                           F.col("z.fates").alias("_home"), F.coalesce(alone, F.lit(True)).alias("_alone"))
     met = rows.join(fates, (F.col("entity_id") == F.col("_e")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("valid_from").eqNullSafe(F.col("_f")))
     opens = (F.col("_home") == 0) & (F.col("_alone") | (F.col("at") == F.col("_first")))
     home = F.when(F.col("_home") > 0, F.col("_home")).when(F.col("_alone"), F.col("at")).otherwise(F.col("_first"))
-    placed = met.select(*person, "table", "id", "at", opens.alias("_opens"), home.alias("_at"))
-    so_far = Window.partitionBy("entity_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = placed.where("_opens").select("entity_id", F.col("at").alias("_at"), (F.count("*").over(so_far) - 1).cast("int").alias("cluster"))
-    return placed.join(opened, ["entity_id", "_at"]).select(*person, "table", "id", "cluster")
+    placed = met.select(*person, "table", "id", "source", "valid_from", "n_companies", "at", opens.alias("opens"), home.alias("_at"))
+    number = summaries.running_count(placed.where("opens"), ["entity_id"], "at", "cluster")
+    opened = number.select("entity_id", F.col("at").alias("_at"), (F.col("cluster") - 1).cast("int").alias("cluster"))
+    return placed.join(opened, ["entity_id", "_at"]).drop("at", "_at")
 
 
 def split(entity, position, holding, cluster_rows):

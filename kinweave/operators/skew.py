@@ -1,26 +1,45 @@
 """Joins through hub keys.
 
-A holder, a controller or a board member can sit on a large part of all rows. Rows of a key that holds more than
-`hot_rows` are spread over several join tasks: the left side by a hash of the row, the right side by repeating it per
-share. The shares come from a count of the key (one partial aggregation); there is no hint, so a small share table is
-broadcast by its measured size and a large one is shuffled. Nothing is dropped.
+A holder, a controller or a board member can sit on a large part of all rows, and a key with n rows on one side and m on the other
+gives n x m pairs. Keys with more pairs than one task should make are cut into a rectangle of tasks: the left rows of the key into parts
+by a hash, the right ones likewise, and every part of one side meets every part of the other once. The numbers of parts come from the counts
+of both sides (one partial aggregation each); there is no hint, so a small share table is broadcast by its measured size and a
+large one is shuffled. Nothing is dropped. A join without such keys stays as it is.
 """
 from pyspark.sql import DataFrame, functions as F
 
-HOT_ROWS = 2_000_000
+from kinweave.session import written
 
+#: A task makes up to HOT_ROWS x HOT_ROWS pairs of a key.
+HOT_ROWS = 2_048
 
-def key_shares(df: DataFrame, keys, hot_rows=None) -> DataFrame:
-    """Keys with more rows than one task should hold, with the number of tasks to spread them over."""
+
+def key_shares(left: DataFrame, right: DataFrame, keys, hot_rows=None) -> DataFrame:
+    """Keys with more pairs than one task should make, with the parts of each side.
+
+    A side with few rows stays whole, and the other one is cut more often, so that neither side is repeated more than its partner asks for.
+    """
     hot_rows = hot_rows or HOT_ROWS
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(
-        *keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
+    n = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    m = right.groupBy(*keys).agg(F.count("*").alias("_m"))
+    hot = n.join(m, keys).where(F.col("_n").cast("double") * F.col("_m") > float(hot_rows) * hot_rows)
+    a, b = F.col("_n") / hot_rows, F.col("_m") / hot_rows
+    return hot.select(*keys, F.ceil(F.when(b < 1, a * b).otherwise(a)).cast("int").alias("_rows"),
+                      F.ceil(F.when(a < 1, a * b).otherwise(b)).cast("int").alias("_columns"))
+
 
+def spread_join(left: DataFrame, right: DataFrame, keys, row_key, how="inner", hot_rows=None, right_key=None) -> DataFrame:
+    """Equi-join of left and right on keys. Hot keys are dealt out by hashes of row_key (left) and right_key (all columns of the right).
 
-def spread_join(left: DataFrame, right: DataFrame, keys, row_key, how="inner", hot_rows=None) -> DataFrame:
-    """Equi-join of left and right on keys, hot keys of the left spread by a hash of its row_key columns."""
-    shares = key_shares(left, keys, hot_rows)
-    n = F.coalesce("_shares", F.lit(1))
-    spread = left.join(shares, keys, "left").withColumn("_share", F.pmod(F.xxhash64(*row_key), n).cast("int")).drop("_shares")
-    repeated = right.join(shares, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_shares")
-    return spread.join(repeated, [*keys, "_share"], how).drop("_share")
+    The keys are counted when the join is put together: without hot ones it stays a plain join, and otherwise their shares are a written table.
+    """
+    shares = key_shares(left, right, keys, hot_rows)
+    if not shares.head(1):
+        return left.join(right, keys, how)
+    shares = written(shares, "hot-keys")
+    rows, columns = F.coalesce("_rows", F.lit(1)), F.coalesce("_columns", F.lit(1))
+    part = lambda key, n: F.pmod(F.xxhash64(*key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = left.join(shares, keys, "left").withColumn("_at", part(row_key, rows)).withColumn("_by", every(columns)).drop("_rows", "_columns")
+    other = right.join(shares, keys, "left").withColumn("_by", part(right_key or right.columns, columns)).withColumn("_at", every(rows)).drop("_rows", "_columns")
+    return own.join(other, [*keys, "_at", "_by"], how).drop("_at", "_by")

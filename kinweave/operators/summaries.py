@@ -190,6 +190,28 @@ def reverse_holdings(holding):
         "rank", F.row_number().over(w).cast("bigint"))
 
 
+#: Values of a key that one task numbers together.
+COUNT_PIECE = 4096
+
+
+def running_count(df, keys, value, name, piece=COUNT_PIECE):
+    """Add the number of each row among the rows of its key in the order of a whole-number column (ties in no order), from 1.
+
+    A key may hold most rows, so none is ordered as a whole. The range of a key's values is cut into as many equal pieces as its rows ask for;
+    the counts of the pieces say what lies before each, and only the rows of one piece are ordered. Values that crowd in a few
+    pieces leave those larger; ids handed out by a counter do not.
+    """
+    keys = list(keys)
+    span = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = span.select(*keys, F.col("_lo").alias("_from"), F.greatest(F.lit(1.0), (F.col("_hi").cast("double") - F.col("_lo") + 1) / F.ceil(F.col("_n") / piece)).alias("_width"))
+    cut = df.join(span, keys).withColumn("_piece", F.floor((F.col(value).cast("double") - F.col("_from")) / F.col("_width"))).drop("_from", "_width")
+    counts = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_piece", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(value))
+    return cut.withColumn("_within", within).join(before, [*keys, "_piece"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_piece", "_within", "_before")
+
+
 def event_order(event):
     """Position of each event on its company's timeline, split by company and day so that no task orders a whole company.
 

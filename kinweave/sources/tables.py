@@ -233,9 +233,15 @@ class Tables:
         return self.once("candidates", lambda: rules.all_candidates(
             self.company, self.entity, self.holding, self.position, self.controller, self.guarantee_pair))
 
+    @property
+    def runs(self):
+        """The candidates counted by pair, rule and confidence, without having been written out one by one."""
+        return self.once("runs", lambda: rules.all_runs(
+            self.company, self.entity, self.holding, self.position, self.controller, self.guarantee_pair))
+
     @property
     def parties(self):
-        return self.once("parties", lambda: folding.fold(self.candidates))
+        return self.once("parties", lambda: folding.fold_runs(self.runs))
 
 
 DOMAIN_SQL = f"""

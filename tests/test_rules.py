@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions.paths import with_attr_maps
 from kinweave.operators import folding, rules
 from tests.conftest import rows
 
@@ -134,3 +135,66 @@ def test_event_rule_directions(spark):
     g = spark.createDataFrame([(1, "a", "b", 5.0, "s", "d"), (2, "c", "c", 1.0, "s", "d")], "id bigint, subject_code string, counterparty_code string, amount double, source string, event_date string")
     assert rows(rules.r7_event(g), "subject_code", "party_id") == [("a", "C:b"), ("b", "C:a")]
     assert rows(rules.r7_event(g, one_direction=True), "subject_code", "party_id") == [("a", "C:b")]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Random facts with repeated keys, ties of ratios and a person without a name."""
+    rng = random.Random(21)
+    company = spark.createDataFrame([(f"{i:06d}", f"C{i}", None) for i in range(9)], "stock_code string, short_name string, full_name string")
+    entity = spark.createDataFrame([(i, "person", f"p{i}", None if i == 3 else f"P{i}", int(i % 6 == 5), rng.choice(["high", "medium", "low", None])) for i in range(12)],
+                                   "entity_id bigint, entity_type string, canonical_name string, display_name string, is_channel int, confidence string")
+    code = lambda: f"{rng.randrange(10):06d}"
+    day = lambda: f"2020-0{rng.randint(1, 9)}-01"
+    holding = spark.createDataFrame([(i, rng.randrange(13), code(), f"2020-{rng.choice(['06', '12'])}", 1.0, rng.choice([None, 3.0, 5.0, 30.0]), rng.randint(1, 12), "s", day(), None)
+                                     for i in range(120)], "id bigint, entity_id bigint, stock_code string, report_period string, shares double, ratio double, holder_rank int, source string, valid_from string, valid_to string")
+    position = spark.createDataFrame([(i, rng.randrange(13), code(), f"t{rng.randrange(3)}", rng.choice(["director", "other", "supervisor"]), "s", day(), None) for i in range(90)],
+                                     "id bigint, entity_id bigint, stock_code string, title string, title_class string, source string, valid_from string, valid_to string")
+    controller = spark.createDataFrame([(i, code(), rng.randrange(13), 10.0 + i, "s", day(), None) for i in range(40)],
+                                       "id bigint, stock_code string, entity_id bigint, control_ratio double, source string, valid_from string, valid_to string")
+    pairs = spark.createDataFrame([(i, code(), code(), 1.0, "s", day()) for i in range(20)],
+                                  "id bigint, subject_code string, counterparty_code string, amount double, source string, event_date string")
+    return dict(company=company, entity=entity, holding=holding, position=position, controller=controller, guarantee_pair=pairs)
+
+
+@pytest.mark.parametrize("change, kw", [({}, {}), ({"R3": {"same_period": False}}, {"as_of": "2020-05-01", "strict_as_of": True})])
+def test_counted_runs_equal_runs_of_candidates(crowd, change, kw):
+    cfg = rules.config(**change)
+    columns = ["subject_code", "party_id", "rule_no", "conf_rank", "n", "score_c", "party_name", "first_path", "last_path", "as_of_date"]
+    counted = rules.all_runs(**crowd, cfg=cfg, **kw).withColumns({c: with_attr_maps(F.col(c)) for c in ("first_path", "last_path")})
+    got = rows(counted, *columns)
+    assert got == rows(folding.runs(rules.all_candidates(**crowd, cfg=cfg, **kw)), *columns) and len({r[2] for r in got}) >= 6
+
+
+def test_spread_join_deals_out_and_keeps_pairs(spark, crowd):
+    from kinweave.operators.skew import key_shares, spread_join
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([0] * 50 + [1] * 9 + [2] * 3 + [None] * 2)], "k int, a int")
+    right = spark.createDataFrame([(k, i) for i, k in enumerate([0] * 3 + [1] * 40 + [2] * 2 + [None])], "k int, b int")
+    want = sorted((a["a"], b["b"]) for a in left.collect() for b in right.collect() if a["k"] is not None and a["k"] == b["k"])
+    for hot in (1, 2, 4, 100):
+        assert sorted(tuple(r) for r in spread_join(left, right, ["k"], ["a"], hot_rows=hot).select("a", "b").collect()) == want
+    shares = {r["k"]: (r["_rows"], r["_columns"]) for r in key_shares(left, right, ["k"], 4).collect()}
+    assert shares == {0: (10, 1), 1: (3, 10)}
+    for rule in ("same_control", "chain_director"):
+        facts = crowd["controller" if rule == "same_control" else "position"]
+        pair = getattr(rules, rule)(facts, crowd["entity"], crowd["company"])
+        assert rows(rules.pair_runs(pair, hot_rows=1), "subject_code", "party_id", "n") == rows(rules.pair_runs(pair), "subject_code", "party_id", "n")
+
+
+def test_key_of_100_000_rows_is_dealt_out(spark):
+    """One officer on 100,000 positions, through the normal entry: no task makes much more than its rectangle of pairs."""
+    from kinweave.operators import skew
+    n = 100_000
+    position = spark.range(n).selectExpr("id", "1L AS entity_id", "lpad(cast(id % 50000 as string), 6, '0') AS stock_code", "'t' AS title", "'director' AS title_class",
+                                         "'s' AS source", "'2020-01-01' AS valid_from", "cast(null as string) AS valid_to")
+    entity = spark.createDataFrame([(1, "P", 0, "high", "p")], "entity_id bigint, display_name string, is_channel int, confidence string, canonical_name string")
+    company = spark.createDataFrame([], "stock_code string, short_name string")
+    pair = rules.chain_director(position, entity, company)
+    shares = skew.key_shares(pair.mine, pair.theirs, ["entity_id"]).first()
+    assert (shares["_rows"], shares["_columns"]) == (49, 49)
+    few = spark.createDataFrame([(f"{i:06d}",) for i in range(20)], "stock_code string")
+    found = rules.pair_runs(rules.chain_director(position, entity, company, subjects=few))
+    assert found.groupBy().agg(F.count("*").alias("p"), F.sum("n").alias("n")).first() == (20 * 49_999, 20 * 49_999 * 4)
+    met = skew.spread_join(pair.mine.select("entity_id", "id"), pair.theirs.select("entity_id", "o_id"), ["entity_id"], ["id"], right_key=["o_id"])
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_at" in plan and "_by" in plan
