@@ -30,7 +30,7 @@ from kinweave.llm.tables import cut
 
 SIZE, SEED, BITS = 3, 42, 2
 #: Classes of a shard from which on it is split, and queries that one task compares with a shard.
-LEAF, QUERIES = 4096, 1 << 15
+LEAF, QUERIES = 1 << 14, 1 << 15
 #: Pairs compared at once, and shingles hashed at once.
 PAIRS, PART = 1 << 20, 1 << 16
 
