@@ -49,7 +49,9 @@ query("A7", """SELECT stock_code, count(*) gold_count, count(*) FILTER (WHERE sc
   count(party_entity_id) mapped_count FROM sg GROUP BY 1""", SG)(lambda t: summaries.gold_counts(_gold(t)))
 query("A8", """SELECT scope_class, n, n_mapped, CAST(n*10000//sum(n) OVER () AS BIGINT) share_bp, CAST(n_mapped*10000//n AS BIGINT) mapped_bp FROM
   (SELECT scope_class, count(*) n, count(party_entity_id) n_mapped FROM sg GROUP BY 1)""", SG)(lambda t: summaries.scope_shares(_gold(t)))
-_DIAG = "SELECT d AS \"desc\", count(*) n, CASE WHEN d='(空)' THEN 'relation_desc 为空(表格抽取未抓关系列)' WHEN contains(d,'其他') THEN '描述模糊(''其他''不明确上下游)' WHEN contains(d,'公司') AND NOT regexp_matches(d,'控制|股东|子') THEN '关键词未覆盖(描述含''公司''但不匹配 upstream/downstream 关键词)' ELSE '关键词表未覆盖或描述模糊' END diagnosis FROM (SELECT CASE WHEN trim(relation_desc)='' THEN '(空)' ELSE trim(relation_desc) END d FROM sg WHERE scope_class='other') GROUP BY d"
+_DIAG = """SELECT d AS "desc", count(*) n, CASE WHEN d='' THEN 'empty' WHEN contains(d,'其他') THEN 'other'
+  WHEN contains(d,'公司') AND NOT regexp_matches(d,'控制|股东|子') THEN 'company' ELSE 'unknown' END diagnosis
+  FROM (SELECT trim(coalesce(relation_desc,'')) d FROM sg WHERE scope_class='other') GROUP BY d"""
 query("A13", f"SELECT \"desc\", n FROM ({_DIAG}) ORDER BY n DESC, \"desc\" LIMIT 50", SG)(
     lambda t: summaries.top(ev.relation_texts(_gold(t)), 50, F.desc("n"), "desc").select("desc", "n"))
 query("EV17", _DIAG, SG)(lambda t: ev.relation_texts(_gold(t)))
@@ -68,18 +70,18 @@ query("EV4_confidence", """SELECT confidence, count(hit) matched, count(*) total
 query("EV5", " UNION ALL ".join(figures(f"SELECT {FIG} FROM al_{n}", f"'{n}' AS scope, ") for n, _ in ev.SCOPES),
       _ALL + ", " + ", ".join(aligned(f"al_{n}", "parties", s) for n, s in ev.SCOPES))(lambda t: ev.scope_figures(t.parties, _gold(t)))
 _SWEEP = r.cands() + r.cands(tag="low", th=3.0).split("co AS")[0].rstrip().rstrip(",").join([",", ""]) + f""",
-st AS (SELECT unnest([3.0,5.0,7.0,10.0])::DOUBLE setting),
+st AS MATERIALIZED (SELECT CAST(x AS DOUBLE) setting FROM (VALUES (3.0),(5.0),(7.0),(10.0)) v(x)),
 swc AS MATERIALIZED (SELECT setting, c.* FROM c1low c JOIN st ON true JOIN (SELECT stock_code, entity_id, max(ratio) mr FROM holding GROUP BY 1,2) m
    ON m.stock_code=subject_code AND 'E:'||CAST(m.entity_id AS VARCHAR)=party_id WHERE mr IS NULL OR mr>=setting OR mr>=20
   UNION ALL SELECT setting, x.* FROM ({r.UNION.replace('SELECT * FROM c1 UNION ALL ', '')}) x, st),
-sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
+sw AS MATERIALIZED (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
 {SG}, """ + aligned("al", "sw", "upstream", "st")
 query("EV6", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting, "), _SWEEP)(
     lambda t: ev.threshold_sweep(t.runs, t.holding, t.entity, _gold(t)))
 _ABL = r.cands() + f""",
 st AS (SELECT unnest(['R1','R2','R3','R4']) setting),
 swc AS MATERIALIZED (SELECT setting, x.* FROM ({r.UNION}) x JOIN st ON setting<>'R'||CAST(rule_no AS VARCHAR)),
-sw AS (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
+sw AS MATERIALIZED (SELECT setting, subject_code, party_id, party_name FROM {r.fold('SELECT * FROM swc', 'setting, subject_code, party_id')}),
 {SG}, """ + aligned("al", "sw", "upstream", "st")
 query("EV7", figures(f"SELECT setting, {FIG} FROM al GROUP BY setting", "setting, "), _ABL)(
     lambda t: ev.rule_ablation(t.runs, _gold(t)))

@@ -58,8 +58,8 @@ query("Q5", """SELECT event_id, subject_code, event_type, event_date, amount, ro
   WHERE event_type IN ('lawsuit','pledge') AND event_date BETWEEN '2024-01-01' AND '2024-02-10'""")(
     lambda t: k.risk_events(t.event, ["lawsuit", "pledge"], ("2024-01-01", "2024-02-10")).select(
         "event_id", "subject_code", "event_type", "event_date", "amount", "position"))
-_OV = """fp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_code, party_name ORDER BY party_id) rn FROM parties) WHERE rn=1),
-ov AS (SELECT a, b, x.party_name AS name, x.rule_id rule_a, y.rule_id rule_b, x.confidence, x.path FROM pairs JOIN fp x ON x.subject_code=a JOIN fp y ON y.subject_code=b AND x.party_name=y.party_name)"""
+_OV = """fp AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_code, party_name ORDER BY party_id) rn FROM parties) WHERE rn=1),
+ov AS MATERIALIZED (SELECT a, b, x.party_name AS name, x.rule_id rule_a, y.rule_id rule_b, x.confidence, x.path FROM pairs JOIN fp x ON x.subject_code=a JOIN fp y ON y.subject_code=b AND x.party_name=y.party_name)"""
 query("Q6", "SELECT * FROM ov", r.CTES + ", " + PAIRS_SQL + ", " + _OV)(lambda t: k.overlap(t.parties, next_pairs(t)))
 query("Q7_industry", """SELECT subject_code, party_id, party_name, rule_id, industry FROM parties JOIN company ON party_id='C:'||stock_code WHERE industry='NATION_7'""", r.CTES)(
     lambda t: k.parties_in_industry(t.parties, t.company, "NATION_7"))
@@ -75,7 +75,7 @@ fl AS (SELECT stock_code, 'basic' block, 'short_name' item, short_name v FROM co
  UNION ALL SELECT subject_code, 'related', 'n', CAST(count(*) AS VARCHAR) FROM parties GROUP BY 1
  UNION ALL SELECT stock_code, 'directors', 'n', CAST(count(*) AS VARCHAR) FROM position GROUP BY 1
  UNION ALL SELECT subject_code, 'events', event_type, CAST(count(*) AS VARCHAR)||'|'||CAST(CAST(sum(CAST(coalesce(amount,0) AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS VARCHAR) FROM event GROUP BY 1,3),
- sa AS (SELECT a, b, block, item, v FROM pairs JOIN fl ON stock_code=a), sb AS (SELECT a, b, block, item, v FROM pairs JOIN fl ON stock_code=b)"""
+ sa AS MATERIALIZED (SELECT a, b, block, item, v FROM pairs JOIN fl ON stock_code=a), sb AS MATERIALIZED (SELECT a, b, block, item, v FROM pairs JOIN fl ON stock_code=b)"""
 query("Q8", """SELECT a, b, block, item, sa.v value_a, sb.v value_b FROM sa FULL JOIN sb USING (a,b,block,item)
   UNION ALL SELECT a, b, 'related', 'n_overlap', CAST(count(*) AS VARCHAR), CAST(count(*) AS VARCHAR) FROM ov GROUP BY 1,2
   UNION ALL SELECT a, b, 'directors', 'cross_count', CAST(count(*) AS VARCHAR), CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT a, b, e1.display_name FROM pairs JOIN position x ON x.stock_code=a
@@ -107,13 +107,20 @@ query("Q9", """SELECT c.stock_code, short_name, coalesce(n_matched,0) n_matched,
     lambda t: _dossiers(t).select("stock_code", "short_name", "n_matched", "n_gold_only", "n_events",
                                   F.array_join(F.transform("holders", lambda x: x["display_name"]), "|").alias("holders")))
 query("SNK5")(lambda t: k.dossier_json(_dossiers(t)))
-query("Q13_roles", f"""SELECT stock_code, CASE role WHEN 'holder' THEN 0 WHEN 'controller' THEN 1 ELSE 2 END AS block, "at", CASE role WHEN 'holder' THEN '  '||CAST("at" AS VARCHAR)||'. '||display_name||
-   coalesce(' '||CAST(ratio AS VARCHAR)||'%','')||' ('||entity_type||')'||CASE WHEN is_channel=1 THEN ' [通道]' ELSE '' END WHEN 'controller' THEN '  '||display_name||coalesce(' ('||CAST(ratio AS VARCHAR)||'%)','')
-   ELSE '  '||display_name||' - '||coalesce(title,'') END line FROM ({_ROLES})""")(
+query("Q13_roles", f"""SELECT stock_code, CASE role WHEN 'holder' THEN 0 WHEN 'controller' THEN 1 ELSE 2 END AS block, "at", CASE role
+   WHEN 'holder' THEN concat_ws('; ', '#'||CAST("at" AS VARCHAR)||' '||display_name, coalesce(CAST(ratio AS VARCHAR)||'%','?'), entity_type, CASE WHEN is_channel=1 THEN 'channel' END)
+   WHEN 'controller' THEN concat_ws('; ', display_name, coalesce(CAST(ratio AS VARCHAR)||'%','?')) ELSE concat_ws('; ', display_name, title) END line FROM ({_ROLES})""")(
     lambda t: k.role_lines(k.company_roles(t.entity, t.holding, t.controller, t.position)))
 query("SNK5_items", """SELECT stock_code, section, count(*) n FROM (SELECT stock_code, 'controllers' AS section FROM controller JOIN entity USING (entity_id) WHERE is_channel=0 UNION ALL SELECT stock_code, 'disclosed' FROM al WHERE side<>'system_only'
   UNION ALL SELECT subject_code, 'found' FROM parties UNION ALL SELECT subject_code, 'events' FROM event) GROUP BY 1,2""", _ALIGNED)(
     lambda t: k.dossier_items(t.entity, t.controller, t.parties, ev.align(t.parties, _gold(t)), t.event).groupBy("stock_code", "section").agg(
         F.count("item").alias("n")))
-query("Q13_events")(lambda t: k.event_text(t.event))
+_LABEL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.EVENT_LABELS.items()) + " ELSE event_type END"
+query("Q13_events", f"""SELECT subject_code stock_code, string_agg(block, chr(10) ORDER BY d, e) AS text FROM (
+  SELECT subject_code, '['||{_LABEL}||'] '||CAST(max(n) AS VARCHAR)||'; '||CAST(max(amt) AS VARCHAR)||chr(10)||string_agg(line, chr(10) ORDER BY rk) block,
+   arg_min(event_date, rk) d, arg_min(event_id, rk) e FROM (SELECT subject_code, event_type, event_date, event_id,
+    concat_ws('; ', coalesce(event_date,'?'), left(coalesce(summary,''),60), counterparty) line,
+    row_number() OVER (PARTITION BY subject_code, event_type ORDER BY event_date, event_id) rk, count(*) OVER (PARTITION BY subject_code, event_type) n,
+    CAST(sum(CAST(coalesce(amount,0) AS DECIMAL(18,2))) OVER (PARTITION BY subject_code, event_type) AS DECIMAL(28,2)) amt FROM event) WHERE rk<=5
+   GROUP BY subject_code, event_type) GROUP BY 1""")(lambda t: k.event_text(t.event))
 query("Q14")(lambda t: k.dossier_text(_dossiers(t)))

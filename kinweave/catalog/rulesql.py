@@ -10,16 +10,17 @@ c1{tag} AS (SELECT stock_code subject_code, 'E:'||CAST(entity_id AS VARCHAR) par
   display_name||' -HOLDS'||CASE WHEN ratio IS NULL THEN '' ELSE ' ['||CAST(ratio AS VARCHAR)||'%]' END||'-> '||stock_code p
   FROM (SELECT stock_code, entity_id, max(ratio) ratio, max(id) id, max(holder_rank) rk FROM holding GROUP BY ALL) JOIN entity USING (entity_id)
   WHERE is_channel=0 AND (ratio>={th} OR (ratio IS NULL AND rk<=10))),
-co AS (SELECT stock_code o_code, short_name o_name FROM company),
+co AS MATERIALIZED (SELECT stock_code o_code, short_name o_name FROM company),
 c2 AS (SELECT a.stock_code subject_code, 'C:'||b.stock_code party_id, coalesce(o_name,b.stock_code) party_name, 2 rule_no, 3 conf, 90 score, a.id k1, b.id k2, '' k3,
   a.stock_code||' -CONTROLLED_BY ['||CAST(a.control_ratio AS VARCHAR)||'%]-> '||display_name h,
   a.stock_code||' -CONTROLLED_BY ['||CAST(a.control_ratio AS VARCHAR)||'%]-> '||display_name||' | '||display_name||' -CONTROLS-> '||b.stock_code p
   FROM controller a JOIN entity e ON a.entity_id=e.entity_id AND is_channel=0 JOIN controller b ON a.entity_id=b.entity_id AND a.stock_code<>b.stock_code LEFT JOIN co ON o_code=b.stock_code),
+large AS MATERIALIZED (SELECT stock_code, entity_id, report_period, ratio, id FROM holding WHERE ratio>=5),
 c3 AS (SELECT a.stock_code subject_code, 'C:'||b.stock_code party_id, coalesce(o_name,b.stock_code) party_name, 3 rule_no, 1 conf, 30 score, a.id k1, b.id k2, '' k3,
   a.stock_code||' -HELD_BY ['||CAST(a.ratio AS VARCHAR)||'%]-> '||display_name h,
   a.stock_code||' -HELD_BY ['||CAST(a.ratio AS VARCHAR)||'%]-> '||display_name||' | '||display_name||' -HOLDS ['||CAST(b.ratio AS VARCHAR)||'%]-> '||b.stock_code p
-  FROM holding a JOIN entity e ON a.entity_id=e.entity_id AND is_channel=0 JOIN holding b ON a.entity_id=b.entity_id AND a.report_period=b.report_period
-  AND a.stock_code<>b.stock_code AND a.ratio>=5 AND b.ratio>=5 LEFT JOIN co ON o_code=b.stock_code),
+  FROM large a JOIN entity e ON a.entity_id=e.entity_id AND is_channel=0 JOIN large b ON a.entity_id=b.entity_id AND a.report_period=b.report_period
+  AND a.stock_code<>b.stock_code LEFT JOIN co ON o_code=b.stock_code),
 c4 AS (SELECT a.stock_code subject_code, 'C:'||b.stock_code party_id, coalesce(o_name,b.stock_code) party_name, 4 rule_no,
   CASE confidence WHEN 'high' THEN 3 WHEN 'low' THEN 1 ELSE 2 END conf, 70 score, a.id k1, b.id k2, '' k3,
   a.stock_code||' -SERVED_BY ['||a.title||']-> '||display_name h,

@@ -42,8 +42,9 @@ query("J4", "SELECT stock_code FROM company WHERE stock_code NOT IN (SELECT stoc
     lambda t: t.company.join(t.position.where("valid_from >= '2001-06-01'").select("stock_code"), "stock_code", "left_anti").select("stock_code"))
 query("J5", "SELECT entity_id, display_name, min(stock_code) listed_code FROM entity JOIN company ON display_name=short_name GROUP BY 1,2")(
     lambda t: s.entity_to_company(t.entity, t.company))
-query("J6", """SELECT h.id, (SELECT max(h2.ratio) FROM holding h2 JOIN entity e2 USING (entity_id) WHERE h2.stock_code=h.stock_code AND e2.display_name=e.display_name) ratio
-  FROM holding h JOIN entity e USING (entity_id)""")(
+query("J6", "SELECT h.id, m.ratio FROM named h LEFT JOIN best m USING (stock_code, display_name)",
+      """named AS MATERIALIZED (SELECT id, stock_code, display_name, ratio FROM holding JOIN entity USING (entity_id)),
+best AS MATERIALIZED (SELECT stock_code, display_name, max(ratio) ratio FROM named GROUP BY 1,2)""")(
     lambda t: t.holding.drop("ratio").join(t.entity.select("entity_id", "display_name"), "entity_id").join(
         s.ratio_by_name(t.holding, t.entity), ["stock_code", "display_name"], "left").select("id", "ratio"))
 query("J7", """SELECT name, f first_id, id other_id FROM (SELECT name, id, min(id) OVER (PARTITION BY name) f FROM holder_name) WHERE id<>f""")(

@@ -90,7 +90,7 @@ def _other(df, **columns):
 
 
 class PairRule(NamedTuple):
-    """A rule that pairs companies over a shared holder, controller or officer.
+    """A rule that pairs companies over a shared holder, controller or officer. With a range its facts keep their valid_from.
 
     mine: one row per fact of the subject with keys, heads (facts of the entity), subject_code, id and own details. theirs: the same of the
     other company with o_code, o_id and details. Every fact of one side meets every fact of the other under equal keys.
@@ -108,6 +108,8 @@ class PairRule(NamedTuple):
     evidence: Callable
     company: DataFrame
     as_of: str | None
+    #: Keys that a pair is also counted by.
+    by: list = []
 
 
 def _rows_of(pair: PairRule, hot_rows):
@@ -135,26 +137,27 @@ def pair_runs(pair: PairRule, hot_rows=None) -> DataFrame:
     def step(end):
         facts = [*[F.col(f"id_{end}.{c}").alias(c) for c in ("id", *pair.own)], *[F.col(f"o_id_{end}.{c}").alias(c) for c in ("o_id", *pair.other)]]
         return F.struct(*facts, *[c for c in (*pair.keys, *pair.heads)]), F.struct(f"id_{end}.id", f"o_id_{end}.o_id")
-    runs = met.withColumn("conf", confidence_rank(pair.confidence)).groupBy("subject_code", "o_code", "conf").agg(
+    runs = met.withColumn("conf", confidence_rank(pair.confidence)).groupBy("subject_code", "o_code", *pair.by, "conf").agg(
         F.sum(F.col("id_n") * F.col("o_id_n")).alias("n"), F.min_by(*step("first")).alias("_first"), F.max_by(*step("last")).alias("_last"))
 
     def path_of(df, end, name):
-        flat = df.withColumns({c: F.col(f"{end}.{c}") for c in ("id", *pair.own, "o_id", *pair.other, *pair.keys, *pair.heads)})
+        flat = df.withColumns({c: F.col(f"{end}.{c}") for c in ("id", *pair.own, "o_id", *pair.other, *pair.keys, *pair.heads) if c not in pair.by})
         return flat.withColumn(name, pair.path(flat_hop).cast(f"array<{HOP_TYPES[flat_hop]}>"))
-    runs = path_of(path_of(runs, "_first", "first_path"), "_last", "last_path").select("subject_code", "o_code", "conf", "n", "first_path", "last_path")
+    runs = path_of(path_of(runs, "_first", "first_path"), "_last", "last_path").select("subject_code", "o_code", *pair.by, "conf", "n", "first_path", "last_path")
     return _with_other_name(runs, pair.company).select(
-        "subject_code", F.concat(F.lit("C:"), "o_code").alias("party_id"), F.lit(int(pair.rule[1:])).alias("rule_no"), F.col("conf").alias("conf_rank"), "n",
+        "subject_code", *pair.by, F.concat(F.lit("C:"), "o_code").alias("party_id"), F.lit(int(pair.rule[1:])).alias("rule_no"), F.col("conf").alias("conf_rank"), "n",
         F.lit(pair.score).cast("int").alias("score_c"), F.col("o_name").alias("party_name"), "first_path", "last_path", F.lit(pair.as_of or "").alias("as_of_date"))
 
 
-def same_control(controller, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False) -> PairRule:
+def same_control(controller, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False, with_range=False) -> PairRule:
     cfg = cfg or S.RULES["R2"]
     until = "valid_to" if strict_as_of else None
     live = controller.where(valid_at("valid_from", until, as_of))
     heads = _entity(entity).where("is_channel = 0").select("entity_id", "entity_name")
+    dated = ["valid_from"] if with_range else []
     mine = _subjects(live, subjects).join(heads, "entity_id").select(
-        "entity_id", "entity_name", F.col("stock_code").alias("subject_code"), "id", "control_ratio", "source")
-    theirs = _other(live, entity_id="entity_id", o_id="id", o_code="stock_code", o_source="source")
+        "entity_id", "entity_name", F.col("stock_code").alias("subject_code"), "id", "control_ratio", "source", *dated)
+    theirs = _other(live, entity_id="entity_id", o_id="id", o_code="stock_code", o_source="source", **{c: c for c in dated})
     head = F.col("entity_name")
     return PairRule(
         "R2", mine, theirs, ["entity_id"], ["entity_name"], ["control_ratio", "source"], ["o_source"], F.lit("high"), cfg["score"],
@@ -196,17 +199,18 @@ def r3_common_holder(holding, entity, company, cfg=None, as_of=None, subjects=No
     return _rows_of(common_holder(holding, entity, company, cfg, as_of, subjects, strict_as_of), hot_rows)
 
 
-def chain_director(position, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False) -> PairRule:
+def chain_director(position, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False, with_range=False) -> PairRule:
     cfg = cfg or S.RULES["R4"]
     until = "valid_to" if strict_as_of else None
     live = position.where(valid_at("valid_from", until, as_of))
     people = _entity(entity).where("is_channel = 0").select(
         "entity_id", F.coalesce("confidence", F.lit("medium")).alias("person_conf"),
         F.coalesce("display_name", F.lit("")).alias("person"))
+    dated = ["valid_from"] if with_range else []
     mine = _subjects(live.where(F.col("title_class").isin(cfg["title_classes"])), subjects).join(people, "entity_id").select(
-        "entity_id", "person", "person_conf", F.col("stock_code").alias("subject_code"), "id", "title", "title_class", "source")
+        "entity_id", "person", "person_conf", F.col("stock_code").alias("subject_code"), "id", "title", "title_class", "source", *dated)
     theirs = _other(live, entity_id="entity_id", o_id="id", o_code="stock_code", o_title="title", o_class="title_class",
-                    o_source="source")
+                    o_source="source", **{c: c for c in dated})
     who = F.col("person")
     return PairRule(
         "R4", mine, theirs, ["entity_id"], ["person", "person_conf"], ["title", "title_class", "source"], ["o_title", "o_class", "o_source"],
@@ -222,7 +226,7 @@ def r4_chain_director(position, entity, company, cfg=None, as_of=None, subjects=
     return _rows_of(chain_director(position, entity, company, cfg, as_of, subjects, strict_as_of), hot_rows)
 
 
-def key_person(position, holding, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False) -> PairRule:
+def key_person(position, holding, entity, company, cfg=None, as_of=None, subjects=None, strict_as_of=False, with_range=False) -> PairRule:
     cfg = cfg or S.RULES["R5"]
     until = "valid_to" if strict_as_of else None
     officers = position.where(F.col("title_class").isin(cfg["title_classes"]) & valid_at("valid_from", until, as_of))
@@ -232,7 +236,7 @@ def key_person(position, holding, entity, company, cfg=None, as_of=None, subject
     names = _entity(entity).select("entity_id", "entity_name")
     mine = _subjects(officers, subjects).join(names, "entity_id", "left").select(
         "entity_id", F.coalesce("entity_name", F.lit("")).alias("person"), F.col("stock_code").alias("subject_code"),
-        "id", "title", "source")
+        "id", "title", "source", *(["valid_from"] if with_range else []))
     theirs = _other(large, entity_id="entity_id", o_id="id", o_code="stock_code", o_ratio="ratio", o_period="report_period",
                     o_source="source")
     who = F.col("person")

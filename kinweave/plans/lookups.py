@@ -124,6 +124,30 @@ def overlap(parties, pairs) -> DataFrame:
         F.col("a_party.confidence").alias("confidence"), render_path(F.col("a_party.path")).alias("path"))
 
 
+def overlap_as_of(parties, pairs) -> DataFrame:
+    """Q6 with dates: parties as of dates (see as_of), pairs with a, b, as_of. A company on a date is a subject of its own."""
+    at = lambda c: F.concat(F.col(c), F.lit("@"), F.coalesce("as_of", F.lit("")))
+    dated = overlap(parties.withColumn("subject_code", at("subject_code")), pairs.select(at("a").alias("a"), at("b").alias("b")))
+    of = lambda c, part: F.nullif(F.split_part(c, F.lit("@"), F.lit(part)), F.lit(""))
+    return dated.withColumns({"as_of": of("a", 2), "a": of("a", 1), "b": of("b", 1)})
+
+
+def dossier_counts_as_of(parties, gold_scoped, asks) -> DataFrame:
+    """Q9 with dates: per asked company and date the parties in three classes, counted."""
+    from kinweave.functions import names
+    known = gold_scoped.select("stock_code", names.alignment_name("party_name").alias("name")).where("name <> ''").distinct()
+    found = parties.select(F.col("subject_code").alias("stock_code"), "as_of", names.alignment_name("party_name").alias("name"))
+    by_name = found.groupBy("stock_code", "as_of", "name").agg(F.count("*").alias("n"))
+    per = by_name.join(known.withColumn("g", F.lit(1)), ["stock_code", "name"], "left").groupBy("stock_code", "as_of").agg(
+        F.count("g").alias("n_matched"), F.coalesce(F.sum(F.when(F.col("g").isNull(), F.col("n"))), F.lit(0)).alias("n_system_only"))
+    total = known.groupBy("stock_code").agg(F.count("*").alias("n_known"))
+    rows = asks.select("stock_code", "as_of").distinct().join(
+        per.select(F.col("stock_code").alias("c"), F.col("as_of").alias("d"), "n_matched", "n_system_only"),
+        (F.col("stock_code") == F.col("c")) & F.col("as_of").eqNullSafe(F.col("d")), "left").drop("c", "d").join(total, "stock_code", "left")
+    rows = rows.na.fill(0, ["n_matched", "n_system_only", "n_known"])
+    return rows.select("stock_code", "as_of", "n_matched", "n_system_only", (F.col("n_known") - F.col("n_matched")).alias("n_gold_only"))
+
+
 def parties_in_industry(parties, company, industry) -> DataFrame:
     """Q7, second example: related parties of all companies that are companies of an industry."""
     c = company.where(F.col("industry") == industry).select(F.concat(F.lit("C:"), "stock_code").alias("party_id"), "industry")
@@ -267,81 +291,63 @@ def write_dossiers(rows, path):
     dossier_json(rows).write.mode("overwrite").json(path)
 
 
-def _amount(c):
-    return F.format_number(c, 0)
+def _joined(df, keys, order, line, name):
+    """The lines of each key in order, one below the other."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["_line"]), "\n").alias(name))
 
 
 def role_lines(roles) -> DataFrame:
     """Q13. The roles of a company as lines of text, one row per line, in block order: holders, controllers, officers."""
-    line = (F.when(F.col("role") == "holder", F.concat(
-        F.lit("  "), F.col("at").cast("string"), F.lit(". "), "display_name",
-        F.coalesce(F.concat(F.lit(" "), F.col("ratio").cast("string"), F.lit("%")), F.lit("")), F.lit(" ("), "entity_type", F.lit(")"),
-        F.when(F.col("is_channel") == 1, " [通道]").otherwise("")))
-        .when(F.col("role") == "controller", F.concat(F.lit("  "), "display_name", F.coalesce(
-            F.concat(F.lit(" ("), F.col("ratio").cast("string"), F.lit("%)")), F.lit(""))))
-        .otherwise(F.concat(F.lit("  "), "display_name", F.lit(" - "), F.coalesce("title", F.lit("")))))
+    share = F.coalesce(F.concat(F.col("ratio").cast("string"), F.lit("%")), F.lit("?"))
+    line = (F.when(F.col("role") == "holder", F.concat_ws("; ", F.concat(F.lit("#"), F.col("at").cast("string"), F.lit(" "), F.col("display_name")), share, "entity_type",
+                                                          F.when(F.col("is_channel") == 1, "channel")))
+            .when(F.col("role") == "controller", F.concat_ws("; ", "display_name", share))
+            .otherwise(F.concat_ws("; ", "display_name", "title")))
     block = F.when(F.col("role") == "holder", 0).when(F.col("role") == "controller", 1).otherwise(2)
     return roles.select("stock_code", block.alias("block"), "at", line.alias("line"))
 
 
 def role_text(lines) -> DataFrame:
-    """Lines joined to one text per company. For companies whose lines fit a cell; the lines themselves have no such bound."""
-    heads = F.array(F.lit("\n前十大股东："), F.lit("\n实际控制人："), F.lit("\n董监高："))
-    per = lines.groupBy("stock_code", "block").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    per = per.withColumn("t", F.concat(F.get(heads, F.col("block")), F.lit("\n"), "t"))
-    return per.groupBy("stock_code").agg(F.array_sort(F.collect_list(F.struct("block", "t"))).alias("b")).select(
-        "stock_code", F.concat(F.lit("股票代码 "), "stock_code", F.lit(" 的角色信息：\n"),
-                               F.array_join(F.transform("b", lambda x: x["t"]), "\n")).alias("text"))
+    """Lines joined to one text per company, each block under its name. For companies whose lines fit a cell; the lines themselves have no such bound."""
+    heads = F.array(*[F.lit(f"[{x}]") for x in ("holders", "controllers", "officers")])
+    per = _joined(lines, ["stock_code", "block"], ["at"], "line", "t").withColumn("t", F.concat(F.get(heads, F.col("block")), F.lit("\n"), "t"))
+    return _joined(per, ["stock_code"], ["block"], "t", "text")
 
 
 def event_text(event, shown=5) -> DataFrame:
-    """Q13. The events of a company as text: per type the number, the amount and the first five."""
+    """Q13. The events of a company as text: per type a line with number and amount, then the first ones by date.
+
+    Types stand in the order of their first event.
+    """
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in S.EVENT_LABELS.items() for x in kv])[F.col("event_type")], F.col("event_type"))
     totals = summaries.event_totals(event, ("subject_code", "event_type"))
-    line = F.concat(F.lit("  "), F.coalesce("event_date", F.lit("")), F.lit(" "), F.left(F.coalesce("summary", F.lit("")), F.lit(50)),
-                    F.coalesce(F.concat(F.lit(" 对方: "), "counterparty"), F.lit("")))
+    line = F.concat_ws("; ", F.coalesce("event_date", F.lit("?")), F.left(F.coalesce("summary", F.lit("")), F.lit(60)), "counterparty")
     first = summaries.first_per_key(event.withColumn("line", line), ["subject_code", "event_type"], ["event_date", "event_id"], shown)
-    lines = first.groupBy("subject_code", "event_type").agg(
-        F.min(F.struct("event_date", "event_id")).alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    amount = F.when(F.col("total_amount") > 0, F.concat(F.lit("\n  金额合计: "), _amount("total_amount"), F.lit(" 元"))).otherwise("")
-    more = F.when(F.col("n") > shown, F.concat(F.lit("\n  ...还有 "), (F.col("n") - shown).cast("string"), F.lit(" 笔"))).otherwise("")
-    block = F.concat(F.lit("【"), label, F.lit("】"), F.col("n").cast("string"), F.lit(" 笔"), amount, F.lit("\n"), "lines", more)
-    per = totals.join(lines, ["subject_code", "event_type"]).withColumn("block", block)
-    return per.groupBy("subject_code").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "block"))).alias("b")).select(
-        F.col("subject_code").alias("stock_code"),
-        F.concat(F.lit("股票代码 "), "subject_code", F.lit(" 共有 "), F.col("n").cast("string"), F.lit(" 条风险事件：\n\n"),
-                 F.array_join(F.transform("b", lambda x: x["block"]), "\n")).alias("text"))
-
-
-def dossier_text(rows, notes=None) -> DataFrame:
-    """Q14. A dossier as prose by template: first 10 or 15 items of each list."""
-    s = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    holders_ = F.transform(F.slice("holders", 1, 10), lambda h, i: F.concat(
-        F.lit("  "), (i + 1).cast("string"), F.lit(". "), h["display_name"],
-        F.when(h["ratio"] > 0, F.concat(F.lit(" "), h["ratio"].cast("string"), F.lit("%"))).otherwise(""), F.lit(" ("), h["entity_type"], F.lit(")")))
-    heads = F.transform("controllers", lambda c: F.concat(F.lit("  "), c["display_name"], F.lit(" ("), s(c["control_ratio"]), F.lit("%)")))
-    named = lambda arr: F.transform(F.slice(arr, 1, 10), lambda m: F.concat(F.lit("  - "), m["name"]))
-    found = F.flatten(F.transform(F.slice("system_only", 1, 15), lambda x: F.array_compact(F.array(
-        F.concat(F.lit("  - ["), x["confidence"], F.lit("] "), x["name"], F.lit(" <- "), x["rule"]),
-        F.when(x["path"] != "", F.concat(F.lit("      路径: "), F.left(x["path"], F.lit(90))))))))
-    events = F.transform(F.slice("events", 1, 15), lambda e: F.concat(
-        F.lit("  "), e["event_type"], F.lit(" | "), F.coalesce(e["event_date"], F.lit("?")), F.lit(" | "),
-        F.left(F.coalesce(e["summary"], F.lit("")), F.lit(30)), F.lit(" | amt="), s(e["amount"])))
+    start = first.where("rank = 1").select("subject_code", "event_type", "event_date", "event_id")
+    head = F.concat(F.lit("["), label, F.lit("] "), F.col("n").cast("string"), F.lit("; "), F.col("total_amount").cast("string"))
+    per = totals.join(_joined(first, ["subject_code", "event_type"], ["rank"], "line", "lines"), ["subject_code", "event_type"]).join(start, ["subject_code", "event_type"])
+    return _joined(per.withColumn("block", F.concat(head, F.lit("\n"), "lines")), ["subject_code"], ["event_date", "event_id"], "block", "text").withColumnRenamed(
+        "subject_code", "stock_code")
+
+
+def dossier_text(rows, shown=10, notes=None) -> DataFrame:
+    """Q14. A dossier as plain text: a line for each fact, under the name of its list with the length of the whole list."""
     none = F.array().cast("array<string>")
-    many = lambda c: F.coalesce(c, none)
-    one = lambda *parts: F.array(F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]))
-    d = notes or S.DOSSIER_NOTES
-    code, name, n = F.col("stock_code"), F.col("short_name"), lambda c: F.col(c).cast("string")
-    text = F.array_join(F.concat(
-        one("# ", name, "(", code, ") 关联方与风险底稿"), one(""), one("## 一、基本信息"),
-        one("股票代码 ", code, " | 简称 ", name, " | 行业 ", F.coalesce("industry", F.lit("未知"))), one(""), one("## 二、股权结构"),
-        one("前十大股东(非通道):"), many(holders_), F.when(F.size(many(heads)) > 0, F.concat(one("实际控制人:"), heads)).otherwise(none),
-        one(""), one("## 三、关联方清单"), one("3.1 已披露且系统验证: ", n("n_matched"), " 条"), many(named("matched")),
-        one("3.2 系统发现·待核查: ", n("n_system_only"), " 条  ← 核心价值区"), many(found),
-        one("3.3 年报披露但系统未验证: ", n("n_gold_only"), " 条  ← 诚实呈现盲区"), many(named("gold_only")),
-        one(""), one("## 四、风险事件时间线"), many(events), one(""), one("## 五、口径与限制"),
-        one("数据来源: " + d["data_sources"]), one("报告期: " + d["report_period"]), one("覆盖: " + d["coverage"]),
-        one("已知限制: " + d["known_limits"]), one("免责: " + d["disclaimer"])), "\n")
-    return rows.select("stock_code", text.alias("text"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+
+    def block(name, items, line, count=None):
+        many = F.coalesce(F.transform(F.slice(items, 1, shown), line), none)
+        total = F.col(count) if count else F.coalesce(F.size(items), F.lit(0))
+        return F.concat(F.array(F.concat(F.lit(f"[{name}] "), F.greatest(total, F.lit(0)).cast("string"))), many)
+    words = lambda *parts: F.concat_ws("; ", *parts)
+    parts = [
+        F.array(words("stock_code", "short_name", text(F.col("industry")))),
+        block("holders", F.col("holders"), lambda x: words(x["display_name"], text(x["ratio"]), x["entity_type"])),
+        block("controllers", F.col("controllers"), lambda x: words(x["display_name"], text(x["control_ratio"]))),
+        block("disclosed and found", F.col("matched"), lambda x: x["name"], "n_matched"),
+        block("found only", F.col("system_only"), lambda x: words(x["name"], x["rule"], x["confidence"], x["path"]), "n_system_only"),
+        block("disclosed only", F.col("gold_only"), lambda x: x["name"], "n_gold_only"),
+        block("events", F.col("events"), lambda x: words(text(x["event_date"]), x["event_type"], text(x["amount"]), x["summary"]), "n_events"),
+        F.array(*[F.lit(f"{k}: {v}") for k, v in (notes or S.DOSSIER_NOTES).items()])]
+    return rows.select("stock_code", F.array_join(F.concat(*parts), "\n").alias("text"))

@@ -166,6 +166,22 @@ def test_counted_runs_equal_runs_of_candidates(crowd, change, kw):
     assert got == rows(folding.runs(rules.all_candidates(**crowd, cfg=cfg, **kw)), *columns) and len({r[2] for r in got}) >= 6
 
 
+def test_parties_as_of_equal_one_date_at_a_time(spark, crowd):
+    from kinweave.operators.as_of import parties_as_of
+    dates = ["2020-03-01", "2020-06-15", None]
+    asks = spark.createDataFrame([(f"{i:06d}", d) for i in range(6) for d in dates[i % 2:]] + [("000001", "1999-01-01"), ("000002", None), ("777777", "2020-03-01")],
+                                 "stock_code string, as_of string")
+    columns = ["subject_code", "party_id", "party_name", "rule_id", "confidence", "score_c", "n_candidates", "path"]
+    got = {}
+    for r in folding.readable(parties_as_of(**crowd, asks=asks)).select("as_of", *columns).collect():
+        got.setdefault(r["as_of"], set()).add(tuple(r[1:]))
+    for d in [*dates, "1999-01-01"]:
+        only = asks.where(F.col("as_of").eqNullSafe(F.lit(d))).select("stock_code")
+        want = folding.readable(folding.fold(rules.all_candidates(**crowd, as_of=d, subjects=only))).select(*columns).collect()
+        assert got.pop(d) == {tuple(r) for r in want} and want
+    assert not got
+
+
 def test_spread_join_deals_out_and_keeps_pairs(spark, crowd):
     from kinweave.operators.skew import key_shares, spread_join
     left = spark.createDataFrame([(k, i) for i, k in enumerate([0] * 50 + [1] * 9 + [2] * 3 + [None] * 2)], "k int, a int")
