@@ -1,16 +1,17 @@
 """Names in texts linked to companies and entities.
 
-A dictionary name inside a text is found by two equi-joins: the places of the text with the first characters of names, and there one
-substring per length such names have with the names. No text meets every name.
+A dictionary name inside a text is found by two equi-joins: the places of the text at which a name may begin with the first characters of
+names, and there one substring per length such names have with the names. No text meets every name.
 """
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.functions import names
 from kinweave.functions.text import exploded
 from kinweave.operators import summaries
+from kinweave.session import written
 
-#: Characters of a text that are one row before its places are.
-PIECE = 256
+#: Characters of a text that are one row before its places are, and slots of the table of heads.
+PIECE, SLOTS = 256, 1 << 18
 
 
 def company_dictionary(company) -> DataFrame:
@@ -33,27 +34,53 @@ def words(dictionary) -> DataFrame:
     return dictionary.groupBy("word").agg(F.count("*").alias("n_codes"), F.min("code").alias("code"))
 
 
+def _heads(word_rows):
+    """(length of a head, length of the longest word, slots of the heads' hashes) of a dictionary; None without words.
+
+    Two characters are a head, one if there are words of one. The slots are one byte each, so what is told of the heads has a fixed size.
+    """
+    least, most = word_rows.agg(F.min(F.char_length("word")), F.max(F.char_length("word"))).first()
+    if not least:
+        return None
+    head, slots = min(2, least), bytearray(SLOTS)
+    for r in word_rows.select(_slot(F.left("word", F.lit(head))).alias("s")).distinct().collect():
+        slots[r.s] = 1
+    return head, most, bytes(slots)
+
+
+def _slot(c):
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+
+
 def occurrences(texts, word_rows, key="id", text="text") -> DataFrame:
     """Every place where a word occurs. texts: key, text (already in the words' spelling). Adds pos (1-based) and len.
 
-    A text becomes rows: pieces of PIECE characters, each with as much of what follows as the longest word needs, then the places of a
-    piece. The first characters of a place are joined with the heads of the words, which say how long a word that begins so can be;
-    only there a substring is cut for each length and joined with the words. Nothing depends on the size of the dictionary.
+    A text becomes pieces of PIECE characters, each with as much of what follows as the longest word needs. The places of a piece at which
+    no word begins are left out inside the row, by a table of fixed size of the hashes of the words' first characters; only the
+    others become rows. They are joined with the heads of the words, which say how long a word that begins so can be, a substring is cut for
+    each length, and that is joined with the words. No text meets every word, whatever the size of the dictionary.
     """
-    # Two characters are a head, one if there are words of one.
-    shape = word_rows.agg(F.struct(F.least(F.lit(2), F.min(F.char_length("word"))).alias("head"), F.max(F.char_length("word")).alias("most")).alias("s")).scalar()
-    heads = word_rows.withColumn("_shape", shape).groupBy(F.left("word", F.col("_shape.head")).alias("head")).agg(
-        F.collect_set(F.char_length("word")).alias("lens"))
+    # Asked for several times below, and spelled out once.
+    word_rows = written(word_rows, "words")
+    shape = _heads(word_rows)
+    if shape is None:
+        none = texts.where("false").select(key, F.lit(1).alias("pos"), F.lit(1).alias("len"), F.lit("").alias("word"))
+        return none.join(word_rows, "word")
+    head, most, slots = shape
+    heads = word_rows.groupBy(F.left("word", F.lit(head)).alias("head")).agg(F.collect_set(F.char_length("word")).alias("lens"))
     chunks = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % PIECE), F.lit(0))
-    rows = texts.where(F.char_length(text) > 0).select(key, shape.alias("_shape"), chunks.alias("_chunks"))
+    rows = texts.select(key, chunks.alias("_chunks"))
     # Words longer than a piece need more than one piece after their own.
-    ahead = F.array_join(F.slice("_chunks", F.col("_i") + 2, F.ceil(F.col("_shape.most") / PIECE).cast("int")), "")
-    pieces = rows.select("*", F.posexplode("_chunks").alias("_i", "_piece")).select(
-        key, "_shape", "_i", F.char_length("_piece").alias("_n"), F.concat("_piece", F.left(ahead, F.col("_shape.most") - 1)).alias("_text"))
+    ahead = F.array_join(F.slice("_chunks", F.col("_i") + 2, F.lit(-(-most // PIECE))), "")
+    # The outer form: filters inferred for the other one would work out the text and its pieces again.
+    pieces = rows.select("*", F.posexplode_outer("_chunks").alias("_i", "_piece")).where("_piece IS NOT NULL").select(
+        key, "_i", F.char_length("_piece").alias("_n"), F.concat("_piece", F.left(ahead, F.lit(most - 1))).alias("_text"))
+    table, one = F.lit(slots), F.lit(b"\x01")
+    begins = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda p: F.substring(table, _slot(F.substring(F.col("_text"), p, F.lit(head))) + 1, F.lit(1)) == one)
     place = F.col("_p")
-    placed = exploded(pieces, [key, "_shape", "_i", "_text"], F.sequence(F.lit(1), F.col("_n")), "_p").select(
-        key, (F.col("_i") * PIECE + place).alias("pos"), F.substring("_text", place, F.col("_shape.head")).alias("head"),
-        F.substring("_text", place, F.col("_shape.most")).alias("_rest"))
+    placed = exploded(pieces, [key, "_i", "_text"], begins, "_p").select(
+        key, (F.col("_i") * PIECE + place).alias("pos"), F.substring("_text", place, F.lit(head)).alias("head"),
+        F.substring("_text", place, F.lit(most)).alias("_rest"))
     met = placed.join(heads, "head")
     cuts = exploded(met, [key, "pos", "_rest"], F.filter("lens", lambda k: k <= F.char_length("_rest")), "len").select(
         key, "pos", "len", F.left("_rest", F.col("len")).alias("word"))

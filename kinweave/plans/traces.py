@@ -1,5 +1,5 @@
 """Statistics over the traces of answered questions."""
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave.operators import summaries
 
@@ -75,39 +75,20 @@ def token_totals(calls) -> DataFrame:
                                F.sum(F.col("prompt_tokens") * 5 + F.col("completion_tokens") * 10).alias("cost_tenths_micro"))
 
 
-def cache_hits(log, keys, ts="ts", ttl=TTL_SECONDS) -> DataFrame:
-    """Which repeated queries a cache would have answered: an entry lives ttl seconds from the miss that stored it.
+def repeats(log, keys, ts="ts", ttl=TTL_SECONDS) -> DataFrame:
+    """How often a query was repeated within ttl seconds of the time before it, from a log (keys, ts in epoch seconds).
 
-    log: keys, ts (epoch seconds). Timelines are cut first where nothing was asked for a whole ttl (the next query is a miss
-    whatever came before), so long-lived keys spread over many tasks; each piece is then walked in time order, batch by
-    batch, holding one number. Equal times of a key travel as one row.
-    Returns keys, ts, n, hits.
+    Equal times of a key travel as one row. The time before lies in the same piece of ttl seconds or in the piece before it, so only
+    the times of a piece are ordered together and a key that never rests spreads over many tasks.
+    Returns keys, ts, n, repeats.
     """
-    rows = log.groupBy(*keys, ts).agg(F.count("*").alias("n"))
-    pieces = log.groupBy(*keys, F.session_window(F.timestamp_seconds(F.col(ts)), f"{ttl} seconds").alias("w")).agg(
-        F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-    hours = F.explode(F.sequence(F.floor(F.col("_from") / ttl), F.floor(F.col("_to") / ttl)))
-    spans = pieces.select(*keys, "_from", "_to", hours.alias("_h"))
-    placed = rows.withColumn("_h", F.floor(F.col(ts) / ttl)).join(spans, [*keys, "_h"]).where(
-        F.col(ts).between(F.col("_from"), F.col("_to"))).drop("_h", "_to")
-    ordered = placed.repartition(*keys, "_from").sortWithinPartitions(*keys, "_from", ts)
-    names = [*keys, "_from"]
-
-    def walk(batches):
-        current, stored = None, None
-        for pdf in batches:
-            hits = []
-            for key, at, n in zip(pdf[names].itertuples(index=False, name=None), pdf[ts], pdf["n"]):
-                if key != current or at - stored >= ttl:
-                    current, stored = key, at
-                    hits.append(n - 1)
-                else:
-                    hits.append(n)
-            yield pdf[[*keys, ts, "n"]].assign(hits=hits)
-
-    schema = ordered.select(*keys, ts, "n", F.col("n").alias("hits")).schema
-    return ordered.mapInPandas(walk, schema)
-
-
-def cache_rate(hits) -> DataFrame:
-    return hits.groupBy().agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    rows = log.groupBy(*keys, ts).agg(F.count("*").alias("n")).withColumn("_piece", F.floor(F.col(ts) / ttl))
+    last = rows.groupBy(*keys, (F.col("_piece") + 1).alias("_piece")).agg(F.max(ts).alias("_last"))
+    inside = F.lag(ts).over(Window.partitionBy(*keys, "_piece").orderBy(ts))
+    before = rows.withColumn("_before", inside).join(last, [*keys, "_piece"], "left").withColumn("_before", F.coalesce("_before", "_last"))
+    soon = F.coalesce(F.col(ts) - F.col("_before") < ttl, F.lit(False)).cast("bigint")
+    return before.select(*keys, ts, "n", (F.col("n") - 1 + soon).alias("repeats"))
+
+
+def repeat_rate(rows) -> DataFrame:
+    return rows.groupBy().agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"))

@@ -53,19 +53,16 @@ def test_clusters_against_walk(spark):
     assert rows(homonyms.undo(h2, e2), "id", "entity_id") == rows(holding, "id", "entity_id")
 
 
-def test_cache_against_walk(spark):
+def test_repeats_against_walk(spark):
     rng = random.Random(9)
-    log = [(rng.choice("ab"), rng.randint(0, 40000)) for _ in range(300)] + [("c", 0), ("c", 3600), ("c", 3601)]
-    want = defaultdict(int)
-    stored = {}
+    log = [(rng.choice("ab"), rng.randint(0, 400000)) for _ in range(300)] + [("c", 0), ("c", 3600), ("c", 3601), ("c", 3601), ("c", 7200), ("c", 14400)]
+    want, before = defaultdict(int), {}
     for k, ts in sorted(log):
-        if k in stored and ts - stored[k] < 3600:
-            want[k] += 1
-        else:
-            stored[k] = ts
+        want[k] += k in before and ts - before[k] < 3600
+        before[k] = ts
     df = spark.createDataFrame(log, "k string, ts bigint")
-    got = {r["k"]: r["h"] for r in traces.cache_hits(df, ["k"]).groupBy("k").agg(F.sum("hits").alias("h")).collect()}
-    assert got == dict(want) | {"c": want["c"]}
+    got = {r["k"]: r["h"] for r in traces.repeats(df, ["k"]).groupBy("k").agg(F.sum("repeats").alias("h")).collect()}
+    assert got == dict(want) and want["c"] == 3
 
 
 def test_shortest_path_over_a_middle_company(spark):
@@ -77,6 +74,71 @@ def test_shortest_path_over_a_middle_company(spark):
     assert rows(network.two_hop(links, hot_rows=1), "company", "other") == rows(network.two_hop(links), "company", "other")
 
 
+def test_shortest_paths_against_walk(spark):
+    """Random graphs of both kinds of nodes, every pair, every bound; the first in node order of all shortest paths."""
+    rng = random.Random(17)
+    edges = {(f"E:{rng.randrange(9)}", f"C:{rng.randrange(12)}") for _ in range(22)} | {("E:x", "E:1"), ("E:x", "C:z")}
+    around = defaultdict(set)
+    for a, b in edges:
+        around[a].add(b)
+        around[b].add(a)
+    nodes = sorted(around) + ["C:none"]
+    pairs = [(a, b) for a in nodes for b in nodes if a < b or rng.random() < 0.2]
+    df, asked = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(pairs, "a string, b string")
+    for bound in (1, 3, 4):
+        want = {}
+        for a, b in pairs:
+            paths = [[a]]
+            for _ in range(bound):
+                paths = [[*p, n] for p in paths for n in around[p[-1]]]
+                hit = [p for p in paths if p[-1] == b]
+                if hit:
+                    want[a, b] = min(hit)
+                    break
+        got = {(r["a"], r["b"]): r["path"] for r in network.shortest_paths(df, asked, bound).collect()}
+        assert got == want and len({len(p) for p in want.values()}) == bound
+
+
+def test_running_count(spark):
+    rng = random.Random(2)
+    values = [(k, v) for k in "ab" for v in rng.sample(range(-10**6, 10**6), 900)] + [("c", 5), ("d", 2**62), ("d", -2**62)]
+    got = summaries.running_count(spark.createDataFrame(values, "k string, v bigint"), ["k"], "v", "at", piece=16).collect()
+    want = {(k, v): i + 1 for k in "abcd" for i, v in enumerate(sorted(x for a, x in values if a == k))}
+    assert {(r["k"], r["v"]): r["at"] for r in got} == want
+
+
+def test_records_against_representatives(spark):
+    """Every compared pair up to the match, as a walk over all records finds them."""
+    rng = random.Random(8)
+    entity = spark.createDataFrame([(i, "person", f"p{i}", f"P{i}", 0) for i in range(4)],
+                                   "entity_id bigint, entity_type string, canonical_name string, display_name string, is_channel int")
+    pos = [(i * 100 + k, i, f"c{rng.randrange(7)}", "t", S.POSITION_SOURCE, str(date(2015, 1, 1) + timedelta(days=rng.randint(0, 4000)))) for i in range(4) for k in range(6)]
+    hold = [(i * 100 + k, i, f"c{rng.randrange(7)}", S.CHANGE_SOURCE, str(date(2015, 1, 1) + timedelta(days=rng.randint(0, 4000)))) for i in range(4) for k in range(25 if i else 3)]
+    position = spark.createDataFrame(pos, "id bigint, entity_id bigint, stock_code string, title string, source string, valid_from string")
+    holding = spark.createDataFrame(hold, "id bigint, entity_id bigint, stock_code string, source string, valid_from string")
+    scores = {}
+    records = {i: sorted([("position", r[0], r[4], r[5], r[2]) for r in pos if r[1] == i], key=lambda r: r[1])
+               + sorted([("holding", r[0], r[3], r[4], r[2]) for r in hold if r[1] == i], key=lambda r: r[1]) for i in range(4)}
+    frame = [(i, a[0], a[1], b[0], b[1], len({r[4] for r in rr}), a[2], b[2], a[3], b[3]) for i, rr in records.items() for a in rr for b in rr]
+    scored = homonyms.scored_pairs(spark.createDataFrame(frame, "e int, at string, ai bigint, bt string, bi bigint, n_companies int, a_source string, b_source string, a_from string, b_from string"))
+    for r in scored.collect():
+        scores[r.e, r.at, r.ai, r.bt, r.bi] = r.score_m
+    want = set()
+    for i, rr in records.items():
+        reps = []
+        for r in rr:
+            for c, q in enumerate(reps):
+                points = scores[i, q[0], q[1], r[0], r[1]]
+                want.add((i, r[0], r[1], c, q[0], q[1], points))
+                if points > S.SAME_ABOVE:
+                    break
+            else:
+                reps.append(r)
+    for hot in (None, 2):
+        got = homonyms.against_representatives(position, holding, entity, hot_rows=hot)
+        assert {tuple(r) for r in got.select("entity_id", "table", "id", "cluster", "rep_table", "rep_id", "score_m").collect()} == want and want
+
+
 def test_nearest_rank_against_sort(spark):
     rng = random.Random(1)
     vals = [(rng.choice("xy"), float(rng.randint(0, 20))) for _ in range(101)]

@@ -112,3 +112,22 @@ def test_link_levels(spark, company):
     assert got["002594"] == ("exact_code", "002594", 0) and got["比亚迪"] == ("short_name_exact", "002594", 0)
     assert got["同名股份"] == ("short_name_ambiguous", None, 1) and got["比亚迪股份有限公司"][0] == "full_name_exact"
     assert got["平安"] == ("fuzzy", None, 1) and got["无此"] == ("not_found", None, 0) and got["比 亚迪"] == ("normalized", "002594", 0)
+
+
+def test_occurrences_with_many_heads(spark):
+    """50,000 words with as many heads: every place and nothing else, words over the edges of pieces, a piece long ones, an empty dictionary."""
+    import random
+
+    from kinweave.plans import linking
+    rng = random.Random(6)
+    char = lambda: chr(0x4E00 + rng.randrange(1500))
+    known = {char() + char() + "".join(char() for _ in range(rng.randrange(3))) for _ in range(50_000)} | {"甲" * 300, "甲乙"}
+    texts = ["".join(char() for _ in range(n)) for n in (0, 1, 2, 255, 256, 257, 700)] + ["x" * 250 + "甲" * 300 + "乙" + "y" * 300, "甲乙" * 300, None]
+    lengths = sorted({len(w) for w in known})
+    want = {(i, p + 1, t[p:p + k]) for i, t in enumerate(texts) if t for p in range(len(t)) for k in lengths if t[p:p + k] in known and p + k <= len(t)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    words = spark.createDataFrame([(w,) for w in known], "word string")
+    assert {tuple(r) for r in linking.occurrences(df, words).select("id", "pos", "word").collect()} == want and len(want) > 300
+    one = linking.occurrences(df, spark.createDataFrame([("甲",), ("甲乙",)], "word string"))
+    assert one.where("id = 8").groupBy("word").count().collect() and one.where("id = 8 AND word = '甲'").count() == 300
+    assert linking.occurrences(df, words.limit(0)).count() == 0
