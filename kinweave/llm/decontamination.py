@@ -12,7 +12,7 @@ The items are the query set; their windows are taken in blocks of at most BLOCK
 larger benchmark takes more blocks, one after the other in the same pass over the documents. Documents are never shuffled.
 
 Null and wordless texts have no words, no hits and no items; wordless items never occur; items may repeat their id or text, and each id
-counts once; a null id is the empty one. Empty tables give no rows, or documents without hits.
+counts once; a null id is the empty one. Texts are compared whole, whatever their length. Empty tables give no rows, or documents without hits.
 """
 import numpy as np
 import pyarrow as pa

@@ -15,7 +15,7 @@ classes and returns only the links that join something new. No candidate is left
 
 Sets are of 64-bit hashes of words. Null and wordless texts have no set and link with nothing; they are their own component. Rows
 with a null id take the component of equal sets with ids, null if there is none, and link nothing. Rows that share an id are one
-node. An empty table gives no rows. Extra columns are not touched.
+node. Texts are taken whole, whatever their length. An empty table gives no rows. Extra columns are not touched.
 """
 import hashlib
 import math

@@ -9,7 +9,7 @@ end sure enough, with enough different known or promoted values, discover furthe
 
 Everything is a DataFrame expression; patterns and values are counted before they are joined, and scores are joined from written tables,
 so a pattern with any number of values can be split. Null is the empty text; empty tables and texts without instances give no further
-spans. Equal texts are counted once. Spans count code points, the end is exclusive; spans of different kinds may overlap.
+spans. Equal texts are counted once. Texts are scanned whole, whatever their length. Spans count code points, the end is exclusive; spans of different kinds may overlap.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

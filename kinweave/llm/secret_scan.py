@@ -7,7 +7,7 @@ parts too. The distance of two parts is the gap from the end of the earlier to t
 takes one pass over the parts of a text in order with the running largest end, so its size is that of the parts and not of their pairs.
 
 Everything is a DataFrame expression. Equal texts are linked once. Null is the empty text; empty tables and texts without parts give
-empty lists. Spans count code points, the end is exclusive.
+empty lists. Texts are scanned whole, whatever their length. Spans count code points, the end is exclusive.
 """
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,24 +44,6 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("keylike", F.filter("keylike", mixed)).withColumn("text_hash", F.sha2("_text", 256)).drop("_text")
 
 
-def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """parts (text_hash, role, start, end, weak, kind) -> the weak ones with a complementary part that starts within `scope` code points of
-    their start; the scan itself links by gaps.
-
-    A piece holds the starts within `scope` of each other; what complements a part begins in its own piece or the one beside it, and of a
-    piece only the last part before and the first part after matter, where last is by end and first by start.
-    """
-    placed = parts.withColumn("piece", F.floor(F.col("start") / scope))
-    far = cut(placed.groupBy("text_hash", "role", "piece").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.max("start").alias("last_start")), "secret-pieces")
-    asked = (placed.where("weak").withColumn("near", F.explode(F.array(F.col("piece") - 1, F.col("piece"), F.col("piece") + 1)))
-             .withColumn("want", F.explode(F.when(F.col("role") == "secret", F.array(F.lit("identifier"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret"))))))
-    other = far.select(F.col("text_hash").alias("_hash"), F.col("role").alias("_role"), F.col("piece").alias("_piece"), "first", "last", "last_start")
-    met = asked.join(other, (F.col("text_hash") == F.col("_hash")) & (F.col("want") == F.col("_role")) & (F.col("near") == F.col("_piece")))
-    within = ((F.col("near") == F.col("piece")) | ((F.col("near") < F.col("piece")) & (F.col("start") - F.col("last_start") <= scope))
-              | ((F.col("near") > F.col("piece")) & (F.col("first") - F.col("start") <= scope)))
-    return met.where(within).select("text_hash", "kind", "start", "end").distinct()
-
-
 def linked_by_gap(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """parts (text_hash, role, start, end, weak, kind) -> the weak ones with a complementary part no more than `scope` code points away.
 

@@ -3,7 +3,7 @@
 With one more shard a key stays or moves into the new shard, and about 1 / (n + 1) of the keys move.
 
 Nulls: a null key is treated as key 0; a null text has no bytes and the checksum of the empty text. Repeated rows land in the
-same shard and take consecutive slots. An empty table gives no rows.
+same shard and take consecutive slots. Texts are measured whole, whatever their length. An empty table gives no rows.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

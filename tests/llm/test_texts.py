@@ -125,19 +125,6 @@ def test_secrets(spark):
     assert secret_scan.report(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("scope", [10, 400])
-def test_links_of_parts_equal_all_pairs(spark, scope):
-    rng = random.Random(scope)
-    rows = sorted({(h, rng.choice(["secret", "identifier", "endpoint"]), s, s + rng.randint(1, 20), rng.random() < 0.7) for h in "ab" for s in rng.sample(range(3000), 60)})
-    parts = spark.createDataFrame([(*r, r[1]) for r in rows], "text_hash string, role string, start int, end int, weak boolean, kind string")
-    want = set()
-    for h, role, s, e, weak in rows:
-        for h2, role2, s2, *_ in rows:
-            if weak and h == h2 and (role == "secret") != (role2 == "secret") and (abs(s - s2) <= scope or s // scope == s2 // scope):
-                want.add((h, role, s, e))
-    assert {tuple(r) for r in secret_scan.linked(parts, scope).collect()} == want
-
-
 @pytest.mark.parametrize("scope", [10, 400])
 def test_links_by_gap_equal_all_pairs(spark, scope):
     rng = random.Random(scope)
