@@ -103,7 +103,25 @@ query("EV8", f"""SELECT n, true_omission, reasonable_undisclosed, system_error,
     lambda t: ev.corrected_precision(_reviews(t), ev.figures(ev.align(t.parties, _gold(t), "upstream"))))
 
 
-@query("EV9")
+_SHEET = _AL_UP + f""",
+fst AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY subject_code, party_id) first_of FROM (
+   SELECT *, {q.aligned('party_name')} AS name FROM parties WHERE subject_code IN (SELECT stock_code FROM al)) p
+  WHERE name<>'' AND NOT EXISTS (SELECT 1 FROM al WHERE side='matched' AND al.stock_code=p.subject_code AND al.name=p.name)) WHERE first_of=1),
+pieces AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_code, party_id ORDER BY rule_no, -conf, k1, k2, k3, part) rn FROM (
+  SELECT subject_code, party_id, rule_no, conf, k1, k2, k3, 0 part, CASE WHEN rule_no=6 THEN 0 ELSE k1 END pk,
+   CASE rule_no WHEN 2 THEN 'actual_controller' WHEN 4 THEN 'position' WHEN 5 THEN 'position' WHEN 7 THEN 'guarantee_pair' ELSE 'holding' END tbl FROM cand SEMI JOIN fst USING (subject_code, party_id)
+  UNION ALL SELECT subject_code, party_id, rule_no, conf, k1, k2, k3, 1, k2, CASE rule_no WHEN 2 THEN 'actual_controller' WHEN 4 THEN 'position' ELSE 'holding' END
+   FROM cand SEMI JOIN fst USING (subject_code, party_id) WHERE rule_no IN (2,3,4,5))) WHERE rn<=3),
+proof AS (SELECT subject_code, party_id, string_agg(tbl||'#'||CAST(pk AS VARCHAR)||' src='||coalesce(CASE WHEN rule_no=6 THEN 'chain' END, source, 'None')||' period='||coalesce(period,'None'), ' | ' ORDER BY rn) evidence
+  FROM pieces LEFT JOIN (SELECT DISTINCT 'holding' tbl, id pk, source, report_period period FROM holding UNION ALL SELECT DISTINCT 'position', id, source, NULL FROM position
+   UNION ALL SELECT 'actual_controller', id, source, NULL FROM controller UNION ALL SELECT 'guarantee_pair', id, source, event_date FROM guarantee_pair) USING (tbl, pk) GROUP BY 1,2),
+told AS (SELECT stock_code, string_agg(party_name, ', ' ORDER BY id) told FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY id) rn FROM sg WHERE scope_class='upstream') WHERE rn<=15 GROUP BY 1),
+spelt AS (SELECT 'E:'||CAST(entity_id AS VARCHAR) party_id, array_to_string(raw_names, ', ') names FROM entity UNION ALL SELECT 'C:'||stock_code, short_name||', '||full_name FROM company)"""
+
+
+@query("EV9", """SELECT f.subject_code, coalesce(c.short_name, f.subject_code) subject_name, f.party_name, f.rule_id, f.path path_readable, coalesce(evidence,'') evidence, '' report_period,
+  f.confidence, f.score_c, coalesce(told,'') gold_parties_of_subject, coalesce(names,'') name_variants FROM fst f LEFT JOIN company c ON c.stock_code=f.subject_code
+  LEFT JOIN proof USING (subject_code, party_id) LEFT JOIN told ON told.stock_code=f.subject_code LEFT JOIN spelt USING (party_id)""", _SHEET)
 def ev9(t):
     """Review sheet of the undisclosed finds."""
     return ev.review_sheet(t.parties, t.candidates, _gold(t), t.company, t.entity)

@@ -1,7 +1,11 @@
 """Homonym signals, clusters and splits."""
+import re
+
 from pyspark.sql import functions as F
 
 from kinweave import settings as S
+from kinweave.catalog import rulesql as r
+from kinweave.catalog.evaluation_queries import FIG, SG, aligned, figures
 from kinweave.catalog.registry import query
 from kinweave.operators import folding, homonyms as h, rules, summaries
 from kinweave.plans import evaluation as ev
@@ -104,7 +108,17 @@ query("D13", f"""SELECT count(*) n, count(*) FILTER (WHERE score_m>700) same, co
   count(*) FILTER (WHERE score_m BETWEEN 400 AND 700) middle FROM {scored(PAIRS)}""", RECS)(lambda t: h.tier_shares(_scored(t)))
 
 
-@query("D14")
+_SPLIT = f"""moved AS MATERIALIZED (SELECT entity_id, tbl, id, canonical_name, display_name, cl, -(entity_id*{h.CLUSTER_IDS}+cl) new_id FROM done WHERE cl>0),
+entity_s AS MATERIALIZED (SELECT entity_id, entity_type, canonical_name, display_name, is_channel, confidence FROM entity UNION ALL
+  SELECT DISTINCT new_id, 'person', canonical_name||'#D'||CAST(cl+1 AS VARCHAR), display_name, 0, 'medium' FROM moved),
+holding_s AS MATERIALIZED (SELECT f.* REPLACE (coalesce(m.new_id, f.entity_id) AS entity_id) FROM holding f LEFT JOIN moved m ON m.tbl='holding' AND m.id=f.id AND m.entity_id=f.entity_id),
+position_s AS MATERIALIZED (SELECT f.* REPLACE (coalesce(m.new_id, f.entity_id) AS entity_id) FROM position f LEFT JOIN moved m ON m.tbl='position' AND m.id=f.id AND m.entity_id=f.entity_id)"""
+#: The rules over the tables after the split: the same text with other table names.
+_RULES_AFTER = re.sub(r"\b(entity|holding|position|c[1-7o]|chain\w*|large|cand|parties)\b", r"\1_s", r.CTES)
+
+
+@query("D14", figures(f"SELECT 'before' AS state, {FIG} FROM al UNION ALL SELECT 'after', {FIG} FROM al_s", "state, "),
+       ",\n".join([WALK, _SPLIT, r.CTES, _RULES_AFTER, SG, aligned("al", "parties", "upstream"), aligned("al_s", "parties_s", "upstream")]), recursive=True)
 def d14(t):
     """Figures before and after the split."""
     gold = ev.with_scope(t.gold)

@@ -1,8 +1,11 @@
 """Parameterised queries, comparison and dossiers."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinweave import settings as S
 from kinweave.catalog import rulesql as r
+from kinweave.catalog import sqlkit as q
 from kinweave.catalog.evaluation_queries import SG, _gold, aligned
 from kinweave.catalog.network_queries import WALKS, _E, _links
 from kinweave.catalog.registry import query
@@ -10,6 +13,7 @@ from kinweave.catalog.summary_queries import PAIRS_SQL, next_pairs
 from kinweave.operators import folding, summaries
 from kinweave.plans import evaluation as ev
 from kinweave.plans import lookups as k
+from kinweave.session import shared_dir
 
 query("Q1", "SELECT subject_code, party_name AS name, rule_id AS rule, confidence, path, score_c/100.0::DOUBLE score FROM parties WHERE confidence IN ('high','medium') AND subject_code IN (SELECT stock_code FROM company)", r.CTES)(
     lambda t: k.related_parties(t.parties, t.company, min_confidence="medium"))
@@ -106,7 +110,6 @@ query("Q9", """SELECT c.stock_code, short_name, coalesce(n_matched,0) n_matched,
    (SELECT stock_code, entity_id, display_name, min(id) o FROM holding JOIN entity USING (entity_id) GROUP BY 1,2,3)) WHERE rk<=10 GROUP BY 1) h USING (stock_code)""", _ALIGNED)(
     lambda t: _dossiers(t).select("stock_code", "short_name", "n_matched", "n_gold_only", "n_events",
                                   F.array_join(F.transform("holders", lambda x: x["display_name"]), "|").alias("holders")))
-query("SNK5")(lambda t: k.dossier_json(_dossiers(t)))
 query("Q13_roles", f"""SELECT stock_code, CASE role WHEN 'holder' THEN 0 WHEN 'controller' THEN 1 ELSE 2 END AS block, "at", CASE role
    WHEN 'holder' THEN concat_ws('; ', '#'||CAST("at" AS VARCHAR)||' '||display_name, coalesce(CAST(ratio AS VARCHAR)||'%','?'), entity_type, CASE WHEN is_channel=1 THEN 'channel' END)
    WHEN 'controller' THEN concat_ws('; ', display_name, coalesce(CAST(ratio AS VARCHAR)||'%','?')) ELSE concat_ws('; ', display_name, title) END line FROM ({_ROLES})""")(
@@ -123,4 +126,46 @@ query("Q13_events", f"""SELECT subject_code stock_code, string_agg(block, chr(10
     row_number() OVER (PARTITION BY subject_code, event_type ORDER BY event_date, event_id) rk, count(*) OVER (PARTITION BY subject_code, event_type) n,
     CAST(sum(CAST(coalesce(amount,0) AS DECIMAL(18,2))) OVER (PARTITION BY subject_code, event_type) AS DECIMAL(28,2)) amt FROM event) WHERE rk<=5
    GROUP BY subject_code, event_type) GROUP BY 1""")(lambda t: k.event_text(t.event))
-query("Q14")(lambda t: k.dossier_text(_dossiers(t)))
+def _block(rows, order, line):
+    """Per company the number of rows and the lines of the first ten."""
+    return f"""(SELECT stock_code, count(*) n, string_agg(line, chr(10) ORDER BY rk) FILTER (WHERE rk<=10) t FROM (
+  SELECT stock_code, {line} line, row_number() OVER (PARTITION BY stock_code ORDER BY {order}) rk FROM ({rows})) GROUP BY 1)"""
+
+
+_HOLDERS = f"""SELECT h.stock_code, display_name, coalesce(max(ratio), any_value(kr)) ratio, entity_type, min(id) o, h.entity_id FROM holding h JOIN entity USING (entity_id)
+  LEFT JOIN (SELECT stock_code, display_name, max(ratio) kr FROM holding JOIN entity USING (entity_id) WHERE source='{S.CHANGE_SOURCE}' GROUP BY 1,2) USING (stock_code, display_name)
+  GROUP BY h.stock_code, h.entity_id, display_name, entity_type"""
+_HOLDERS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY o, entity_id) r FROM ({_HOLDERS})) WHERE r<=10"
+_NEW = f"""SELECT p.* FROM (SELECT *, subject_code stock_code, {q.aligned('party_name')} AS name FROM parties) p
+  ANTI JOIN (SELECT stock_code, name FROM al WHERE side='matched') USING (stock_code, name)"""
+_BLOCKS = {
+    "holders": _block(_HOLDERS, "o, entity_id", "concat_ws('; ', display_name, coalesce(CAST(ratio AS VARCHAR),'?'), entity_type)"),
+    "controllers": _block("SELECT * FROM controller JOIN entity USING (entity_id) WHERE is_channel=0", "id", "concat_ws('; ', display_name, coalesce(CAST(control_ratio AS VARCHAR),'?'))"),
+    "disclosed and found": _block("SELECT * FROM al WHERE side='matched'", "name", "name"),
+    "found only": _block(_NEW, "score_c DESC, party_id", "concat_ws('; ', party_name, rule_id, confidence, path)"),
+    "disclosed only": _block("SELECT * FROM al WHERE side='gold_only'", "name", "name"),
+    "events": _block("SELECT *, subject_code stock_code FROM event", "event_date, event_id",
+                     "concat_ws('; ', coalesce(event_date,'?'), event_type, coalesce(CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR),'?'), summary)"),
+}
+query("Q14", "SELECT c.stock_code, concat_ws(chr(10), concat_ws('; ', c.stock_code, short_name, coalesce(industry,'?')), "
+      + ", ".join(f"'[{name}] '||CAST(coalesce(b{i}.n,0) AS VARCHAR), b{i}.t" for i, name in enumerate(_BLOCKS))
+      + "".join(f", '{k_}: {v}'" for k_, v in S.DOSSIER_NOTES.items()) + ") AS text FROM company c"
+      + "".join(f" LEFT JOIN {sql} b{i} ON b{i}.stock_code=c.stock_code" for i, sql in enumerate(_BLOCKS.values())), _ALIGNED)(
+    lambda t: k.dossier_text(_dossiers(t)))
+_COUNTS = dict(zip(("n_holders", "n_controllers", "n_matched", "n_system_only", "n_gold_only", "n_events"), _BLOCKS.values()))
+
+
+@query("SNK5", "SELECT c.stock_code, short_name, " + ", ".join(f"coalesce({n}.n,0) {n}" for n in _COUNTS) + ", best, first_event FROM company c"
+       + "".join(f" LEFT JOIN {sql} {n} ON {n}.stock_code=c.stock_code" for n, sql in _COUNTS.items())
+       + f""" LEFT JOIN (SELECT stock_code, party_name best FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY score_c DESC, party_id) rk FROM ({_NEW})) WHERE rk=1) b
+   ON b.stock_code=c.stock_code LEFT JOIN (SELECT subject_code, arg_min(event_date, (event_date, event_id)) first_event FROM event GROUP BY 1) f ON f.subject_code=c.stock_code""", _ALIGNED)
+def snk5(t):
+    """Dossiers written as JSON lines and read back."""
+    rows = _dossiers(t)
+    path = f"{shared_dir(t.spark)}/kinweave/{t.spark.sparkContext.applicationId}/dossiers-{uuid.uuid4().hex[:8]}"
+    k.write_dossiers(rows, path)
+    d = t.spark.read.schema("stock_code string, dossier string").json(path).select(F.from_json("dossier", rows.schema).alias("d"))
+    size = lambda c, n: F.coalesce(F.size(f"d.{c}"), F.lit(0)).cast("bigint").alias(n)
+    return d.select("d.stock_code", "d.short_name", size("holders", "n_holders"), size("controllers", "n_controllers"), size("matched", "n_matched"),
+                    size("system_only", "n_system_only"), size("gold_only", "n_gold_only"), size("events", "n_events"),
+                    F.get("d.system_only", F.lit(0))["name"].alias("best"), F.get("d.events", F.lit(0))["event_date"].alias("first_event"))

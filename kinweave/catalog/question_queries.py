@@ -180,7 +180,18 @@ for _id, _kind in (("COR1", "ordinal"), ("COR2", "pronoun"), ("COR3", "omission"
         lambda t, k=_kind: qs.references(*_session_log(t)).where(F.col("kind") == k))
 
 
-@query("COR4")
+#: The log in which every turn after results also names the first of them, and the longest name found in each question.
+_NAMED_REFS = _LOG + f""",
+nm AS MATERIALIZED (SELECT r.id, r.session, r.turn, coalesce(f.name||'那个呢', r.text) AS text, he FROM rows r LEFT JOIN res f ON f.session=r.session AND f.turn=r.turn-1 AND f.pos=0),
+fw AS MATERIALIZED (SELECT id, session, turn, word FROM (SELECT id, session, turn, word, row_number() OVER (PARTITION BY id ORDER BY -length(word), strpos(n, word)) rn
+  FROM (SELECT id, session, turn, {q.matcher('text')} n FROM nm) JOIN (SELECT DISTINCT lower(display_name) word FROM entity) ON contains(n, word)) WHERE rn=1),
+pt AS MATERIALIZED (SELECT f.id, count(DISTINCT m.pos) np, min(m.code) pc FROM fw f JOIN res m ON m.session=f.session AND m.turn=f.turn-1
+  WHERE contains({q.norm('m.name')}, word) OR contains({q.matcher('m.name')}, word) GROUP BY 1)""" + REFS[len(_LOG):].replace("FROM rows r)", "FROM nm r)").replace(
+    "ELSE 'none' END kind FROM rf)", "WHEN np>=1 THEN 'name_fragment' ELSE 'none' END kind FROM rf LEFT JOIN pt USING (id))").replace(
+    "CASE kind WHEN 'pronoun'", "CASE kind WHEN 'name_fragment' THEN CASE WHEN np=1 THEN pc END WHEN 'pronoun'")
+
+
+@query("COR4", _REF, _NAMED_REFS)
 def cor4(t):
     """As COR1-3 with name fragments of earlier results; every turn also names the first result by its number."""
     log, mentions, results = _session_log(t)

@@ -348,6 +348,6 @@ def dossier_text(rows, shown=10, notes=None) -> DataFrame:
         block("disclosed and found", F.col("matched"), lambda x: x["name"], "n_matched"),
         block("found only", F.col("system_only"), lambda x: words(x["name"], x["rule"], x["confidence"], x["path"]), "n_system_only"),
         block("disclosed only", F.col("gold_only"), lambda x: x["name"], "n_gold_only"),
-        block("events", F.col("events"), lambda x: words(text(x["event_date"]), x["event_type"], text(x["amount"]), x["summary"]), "n_events"),
+        block("events", F.col("events"), lambda x: words(text(x["event_date"]), x["event_type"], text(x["amount"].cast("decimal(18,2)")), x["summary"]), "n_events"),
         F.array(*[F.lit(f"{k}: {v}") for k, v in (notes or S.DOSSIER_NOTES).items()])]
     return rows.select("stock_code", F.array_join(F.concat(*parts), "\n").alias("text"))
