@@ -10,25 +10,39 @@ from pyspark.sql.types import StringType
 from kinweave import settings as S
 
 
-@lru_cache(maxsize=1)
-def _compat_maps():
-    """Single-character compatibility forms and the class of characters that expand to several."""
-    plain, mapped, expanding = [], [], []
+@lru_cache(maxsize=2)
+def _compat_maps(one_dash=True):
+    """Characters with another compatibility form, by rule: signs and forms for a translation, those with forms of several signs as a
+    regex class and as a map spelled out in one text."""
+    plain, mapped, expanding = [], [], {}
     for point in range(0x80, 0x10000):
         if 0xD800 <= point < 0xE000:
             continue
         char = chr(point)
-        form = "-" if _is_dash(char) else unicodedata.normalize("NFKC", char)
-        if len(form) == 1 and _is_dash(form):
-            form = "-"
+        form = unicodedata.normalize("NFKC", char)
+        if one_dash:
+            form = "".join("-" if _is_dash(x) else x for x in form)
+            form = "-" if _is_dash(char) else form
         if form == char:
             continue
         if len(form) == 1:
             plain.append(char)
             mapped.append(form)
         else:
-            expanding.append(char)
-    return "".join(plain), "".join(mapped), "[" + _ranges(expanding) + "]"
+            expanding[char] = form
+    return "".join(plain), "".join(mapped), "[" + _ranges(expanding) + "]", "\x01".join(k + "\x02" + v for k, v in expanding.items())
+
+
+@lru_cache(maxsize=1)
+def _joining():
+    """Regex class of what may melt into the sign before it: marks, second parts of composed signs, signs whose forms hold such, and all
+    signs beyond the basic plane."""
+    seconds = {chr(int(parts[1], 16)) for parts in (unicodedata.decomposition(chr(p)).split() for p in range(0x80, 0x30000))
+               if len(parts) == 2 and not parts[0].startswith("<")}
+    seconds |= {chr(p) for p in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    found = [chr(p) for p in range(0x80, 0x10000) if not 0xD800 <= p < 0xE000
+             and any(x in seconds or unicodedata.combining(x) for x in chr(p) + unicodedata.normalize("NFKC", chr(p)))]
+    return "[" + _ranges(found) + "\\x{10000}-\\x{10ffff}]"
 
 
 def _ranges(chars):
@@ -52,14 +66,20 @@ def _blank_free(c):
     return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "")
 
 
-def folded_width(c) -> Column:
-    """Compatibility forms (full width, circled, superscript, ...) to their plain character; dashes to '-'."""
-    plain, mapped, _ = _compat_maps()
-    return F.translate(c, plain, mapped)
+def folded_width(c, one_dash=True) -> Column:
+    """Compatibility forms (full width, circled, squared, superscript, ...) to their plain signs, one or several; dashes to '-'.
+
+    Only a text that has a sign with several signs for a form is taken apart; each such sign is replaced once.
+    """
+    plain, mapped, expanding, forms = _compat_maps(one_dash)
+    known = F.str_to_map(F.lit(forms), F.lit("\x01"), F.lit("\x02"))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({expanding})"), 1))
+    spelled = F.when(c.rlike(expanding), F.aggregate(found, c, lambda text, sign: F.replace(text, sign, F.element_at(known, sign)))).otherwise(c)
+    return F.translate(spelled, plain, mapped)
 
 
 def normalize_name(c) -> Column:
-    """One spelling per name: plain characters, one dash, no blanks; null gives ''."""
+    """One spelling per name: plain characters, one dash, no blanks; null gives ''. Marks stay beside their sign (see with_normalized)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(_blank_free(folded_width(c.cast("string"))), F.lit(""))
 
@@ -72,15 +92,12 @@ def _normalize_rare(names: pd.Series) -> pd.Series:
 
 
 def with_normalized(df: DataFrame, source: str, target: str) -> DataFrame:
-    """As normalize_name, exact also for characters that expand to several or combine with their neighbour.
+    """As normalize_name, exact also for marks that melt into the sign before them and for signs beyond the basic plane.
 
-    Only rows holding such a character go through Arrow; the rest never leaves the JVM.
+    The input is read once. Only names that hold such a sign are handed to Python, nulls in the place of all others.
     """
-    _, _, expanding = _compat_maps()
-    rare = F.coalesce(F.col(source).rlike(expanding + r"|[\u0300-\u036f\u3099\u309a\uff9e\uff9f]"), F.lit(False))
-    common = df.where(~rare).withColumn(target, normalize_name(source))
-    odd = df.where(rare).withColumn(target, _normalize_rare(F.col(source)))
-    return common.unionByName(odd)
+    rare = F.col(source).rlike(_joining())
+    return df.withColumn(target, F.coalesce(_normalize_rare(F.when(rare, F.col(source))), normalize_name(source)))
 
 
 def org_key_of_normalized(n) -> Column:
@@ -190,23 +207,10 @@ def canonical_for(entity_type, name) -> Column:
 def matcher_norm(c) -> Column:
     """Spelling used by the dictionary: plain characters, no blanks, one trailing share-class letter dropped, lower case."""
     c = F.col(c) if isinstance(c, str) else c
-    n = F.trim(F.regexp_replace(F.translate(c, *_compat_maps_keep_dash()), "[ \\t\u3000]", ""))
+    n = F.trim(F.regexp_replace(folded_width(c, one_dash=False), "[ \\t\u3000]", ""))
     return F.lower(F.regexp_replace(n, "[ABCDabcd]$", ""))
 
 
-@lru_cache(maxsize=1)
-def _compat_maps_keep_dash():
-    plain, mapped = [], []
-    for point in range(0x80, 0x10000):
-        if 0xD800 <= point < 0xE000:
-            continue
-        form = unicodedata.normalize("NFKC", chr(point))
-        if len(form) == 1 and form != chr(point):
-            plain.append(chr(point))
-            mapped.append(form)
-    return "".join(plain), "".join(mapped)
-
-
 def derive_alias(name) -> Column:
     """Name without its leading place, unless nothing but a general word is left."""
     name = F.col(name) if isinstance(name, str) else name

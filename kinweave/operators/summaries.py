@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave import settings as S
+from kinweave.session import written
 
 
 # ---- joins ----
@@ -141,32 +142,51 @@ def top(df, n, *order):
     return df.orderBy(*order).limit(n)
 
 
-#: Pieces of the range of values that are counted in place of a sort, and how often a piece is cut again.
-RANK_PIECES, RANK_LEVELS = 1024, 2
+#: Pieces of a range of values that are counted in place of a sort, and how many different values one task may order.
+RANK_PIECES, RANK_LAST = 1024, 65_536
+#: A level for sign and exponent and six for the 52 bits of a fraction; 2^11 whole numbers at most share a double.
+RANK_LEVELS = 7
 
 
-def nearest_rank(df, keys, value, percents=(50, 95)):
+def _exponent_piece(v):
+    """Sign and power of two of a number, in its order; the logarithm never falls where its argument grows."""
+    size = F.floor(F.greatest(F.lit(-1075.0), F.least(F.lit(1024.0), F.log2(F.abs(v))))) + 1076
+    return F.when(F.isnan(v), F.lit(2101)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+
+
+def _even_piece(v, lo, hi):
+    width = hi - lo
+    return F.when(width > 0, F.least(F.lit(RANK_PIECES - 1), F.floor((v - lo) / width * RANK_PIECES))).otherwise(F.lit(0)).cast("bigint")
+
+
+def nearest_rank(df, keys, value, percents=(50, 95), last=RANK_LAST):
     """Nearest-rank percentiles: the element at index int(n * p / 100), clamped, of the sorted values.
 
-    Few keys may hold all rows, so no key is sorted. The range of a key's values is cut into equal pieces that keep their order; the
-    counts of the pieces say which one holds the rank, that one is cut again, and only the values of the last piece are ordered. Sums
-    are taken per task first. The result is exact whatever the distribution; a lopsided one leaves more to the last step.
+    Few keys may hold all rows, so no key is sorted. Values are counted first. Where a key has more than `last` different ones, they are
+    cut into pieces that keep their order, and the counts of the pieces say which one holds the rank: by sign and exponent first, so that
+    no outlier decides how the others are cut, then into equal parts between the ends of the piece, until no piece asked for has more than
+    `last` different values (six times settle every bit of a fraction). Only the values of that piece are ordered. The result is exact for
+    every distribution. NaN counts as the largest value; null values and rows with a null key are left out.
     """
     keys = list(keys)
     at = [*keys, "_p"]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    total = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    asked = total.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*map(F.lit, percents))).alias("_p")).withColumn(
-        "_at", F.least(F.floor(F.col("n") * F.col("_p") / 100), F.col("n") - 1))
-    for _ in range(RANK_LEVELS):
-        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-        piece = F.when(width > 0, F.least(F.lit(RANK_PIECES - 1), F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / width * RANK_PIECES))).otherwise(0)
-        sums = counted.join(asked, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*at, "n", "_at", piece.alias("_piece")).agg(
-            F.sum("_c").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counted = written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "rank-counts")
+    total = counted.groupBy(*keys).agg(
+        F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_different"))
+    asked = written(total.select("*", F.explode(F.array(*map(F.lit, percents))).alias("_p")).withColumn(
+        "_at", F.least(F.floor(F.col("n") * F.col("_p") / 100), F.col("n") - 1)), "rank-asked")
+    v, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    for level in range(RANK_LEVELS):
+        if (asked.agg(F.max("_different")).first()[0] or 0) <= last:
+            break
+        piece = _even_piece(v, lo, hi) if level else _exponent_piece(v)
+        sums = counted.join(asked.drop("_different"), keys).where(inside).groupBy(*at, "n", "_at", piece.alias("_piece")).agg(
+            F.sum("_c").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_different"))
         before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*at).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        asked = sums.withColumn("_before", before).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_sum"))).select(
-            *at, "n", "_lo", "_hi", (F.col("_at") - F.col("_before")).alias("_at"))
-    left = counted.join(asked, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        asked = written(sums.withColumn("_before", before).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_sum"))).select(
+            *at, "n", "_lo", "_hi", "_different", (F.col("_at") - F.col("_before")).alias("_at")), "rank-asked")
+    left = counted.join(asked.drop("_different"), keys).where(inside)
     upto = F.sum("_c").over(Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     found = left.withColumn("_upto", upto).where(F.col("_upto") > F.col("_at"))
     return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])

@@ -18,9 +18,29 @@ def test_normalize(spark, raw, want):
 
 
 def test_exact_normalization_of_expanding_characters(spark):
-    df = spark.createDataFrame([(1, "㈱日立"), (2, "ｶﾞ"), (3, "Ａ Ｂ"), (4, None)], "id int, x string")
+    df = spark.createDataFrame([(1, "㈱日立"), (2, "ｶﾞ"), (3, "Ａ Ｂ"), (4, None), (5, "e\u0323\u0302"), (6, "\U0001d400"), (7, "각")], "id int, x string")
     got = {r["id"]: r["n"] for r in names.with_normalized(df, "x", "n").collect()}
-    assert got == {1: "(株)日立", 2: "ガ", 3: "AB", 4: ""}
+    assert got == {1: "(株)日立", 2: "ガ", 3: "AB", 4: "", 5: "ệ", 6: "A", 7: "각"}
+
+
+def test_every_sign_has_its_plain_form(spark):
+    """All signs of the basic plane between two letters, against the standard library."""
+    import re
+    import unicodedata
+    dash = re.compile(r"[\u2010-\u2015\u2212\uff0d]")
+    signs = [chr(p) for p in range(0x20, 0x10000) if not 0xD800 <= p < 0xE000]
+    df = spark.createDataFrame([(x, f"甲{x}乙{x}") for x in signs], "x string, name string")
+    plain = lambda s: re.sub(r"\s+", "", dash.sub("-", unicodedata.normalize("NFKC", dash.sub("-", s))))
+    got = {r["x"]: (r["n"], r["e"]) for r in names.with_normalized(df.withColumn("n", names.normalize_name("name")), "name", "e").collect()}
+    joining = re.compile(names._joining().split("\\x{")[0].encode().decode("unicode_escape") + "]")
+    assert [x for x in signs if not joining.search(x) and got[x][0] != plain(f"甲{x}乙{x}")] == []
+    assert [x for x in signs if got[x][1] != plain(f"甲{x}乙{x}")] == []
+
+
+@pytest.mark.parametrize("raw,key", [("㈱日立有限公司", "(株)日立"), ("㍿甲股份有限公司", "株式会社甲"), ("甲㏄乙", "甲cc乙"), ("㊤—㈱", "上-(株)")])
+def test_signs_with_several_plain_signs(spark, raw, key):
+    assert one(spark, names.org_match_key, raw) == key
+    assert one(spark, names.matcher_norm, "㈱日立A") == "(株)日立"
 
 
 @pytest.mark.parametrize("raw,want", [

@@ -180,3 +180,49 @@ def test_nearest_rank_of_one_key(spark):
     got = {r["key"]: r for r in summaries.nearest_rank(df, ["key"], "v", (0, 50, 95, 100)).collect()}
     assert (got["k"]["n"], got["k"]["p0"], got["k"]["p50"], got["k"]["p95"], got["k"]["p100"]) == (4000, want[0], want[2000], want[3800], want[3999])
     assert got["one"]["p50"] == 3.5 and "none" not in got
+
+
+def test_nearest_rank_with_outliers_and_crowds(spark):
+    """Every level of cutting: values that crowd in the last bits of a fraction between far outliers, against a sort."""
+    rng = random.Random(3)
+    crowd = [1.0 + rng.randrange(4000) * 2.0 ** -52 for _ in range(3000)]
+    values = crowd + [1e300, -1e300, float("inf"), float("-inf"), 0.0, 5e-324, float("nan")] + [rng.random() * 1e-9 for _ in range(200)]
+    whole = [2 ** 60 + rng.randrange(1500) for _ in range(2000)] + [-2 ** 62, 0]
+    df = spark.createDataFrame([("k", v) for v in values] + [("one", 3.5)], "key string, v double")
+    want = sorted(values, key=lambda v: (v != v, v))
+    asked = (0, 1, 7, 50, 95, 99, 100)
+    for last in (1, 8, 65536):
+        got = {r["key"]: r for r in summaries.nearest_rank(df, ["key"], "v", asked, last).collect()}
+        for p in asked:
+            w = want[min(len(want) * p // 100, len(want) - 1)]
+            assert got["k"][f"p{p}"] == w or w != w and got["k"][f"p{p}"] != got["k"][f"p{p}"], (last, p)
+        assert got["one"]["p50"] == 3.5
+    got = summaries.nearest_rank(spark.createDataFrame([(1, v) for v in whole], "key int, v bigint"), ["key"], "v", (50,), 16).first()
+    assert got["p50"] == sorted(whole)[len(whole) // 2]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    from kinweave.streaming.refresh import CandidateRefresh
+    cols = "id bigint, entity_id bigint, stock_code string, report_period string, shares double, ratio double, holder_rank int, source string, valid_from string, valid_to string"
+    row = lambda i, code, ratio: (i, i % 7, code, "p", None, ratio, None, "s", None, None)
+    known = spark.createDataFrame([row(i, f"c{i % 40}", None) for i in range(120)], cols)
+    batches = [spark.createDataFrame(x, cols) for x in ([row(1, "c1", 5.0), row(500, "new", 1.0)], [row(2, "c2", 6.0)], [])]
+    sink = lambda n=16: CandidateRefresh(None, None, known, None, None, folder=str(tmp_path), buckets=n)
+    state, first, want = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("holding/v=*/b=*/*.parquet")}, sink(), known
+    assert first.before(spark, 0).count() == 120
+    for k, batch in enumerate(batches):
+        before, s = state(), sink()
+        hit = {b for b, in batch.select(s._bucket()).distinct().collect()}
+        for _ in range(2):  # a repeated batch ends in the same state
+            s._write(merged_holding(s.before(spark, k, hit), batch), k)
+        want = merged_holding(want, batch)
+        assert before.items() <= state().items()
+        assert {p.parent.name for p in set(state()) - set(before)} == {f"b={b}" for b in hit}
+        cols_of = ["id", "entity_id", "stock_code", "report_period", "ratio", "source"]
+        assert rows(s.before(spark, k + 1), *cols_of) == rows(want, *cols_of)
+    assert len(hit) == 0 and first.before(spark, 0).where("ratio IS NOT NULL").count() == 0
+    try:
+        sink(8).before(spark, 3)
+    except ValueError:
+        return
+    raise AssertionError("another number of buckets must not pass")
