@@ -133,13 +133,14 @@ sl AS (SELECT id, intent, CASE WHEN intent IN ('Q1','Q4','Q5') THEN comp END com
   CASE WHEN intent IN ('Q6','Q8') AND len(bo)>=2 THEN bo[1] END company_a, CASE WHEN intent IN ('Q6','Q8') AND len(bo)>=2 THEN bo[2] END company_b,
   CAST(coalesce(CASE WHEN intent IN ('Q1','Q4','Q5') THEN cword IS NOT NULL AND ccode IS NULL WHEN intent IN ('Q2','Q6','Q8') THEN list_contains(bo[1:2],'') WHEN intent='Q3' THEN CASE WHEN pa IS NOT NULL THEN pn>1 ELSE cword IS NOT NULL AND ccode IS NULL END END, false) AS INTEGER) clarify FROM sl2)"""
 query("SLT1", "SELECT *, CAST(coalesce(company, entity_a, entity, company_a) IS NOT NULL AS INTEGER) filled FROM sl", SLOTS)(_slots)
+CELLS = (SLOTS + """, cells AS (SELECT *, regexp_full_match(i,'\\d+') AND (length(i)=6 OR slot='entity') g FROM (SELECT id, 'company' slot, company i FROM sl WHERE company IS NOT NULL UNION ALL SELECT id, 'entity_a', entity_a FROM sl WHERE entity_a IS NOT NULL
+  UNION ALL SELECT id, 'entity_b', entity_b FROM sl WHERE entity_b IS NOT NULL UNION ALL SELECT id, 'entity', entity FROM sl WHERE entity IS NOT NULL
+  UNION ALL SELECT id, 'company_a', company_a FROM sl WHERE intent='Q6' AND company_a IS NOT NULL UNION ALL SELECT id, 'company_b', company_b FROM sl WHERE intent='Q6' AND company_b IS NOT NULL)),
+lt AS (SELECT DISTINCT trim(i) t FROM cells WHERE NOT g), """ + LC + ", " + LE)
 query("SLT2", f"""SELECT id, slot, i AS input, CASE WHEN g THEN i WHEN left(slot,1)='c' THEN lc.code ELSE CAST(le.entity_id AS VARCHAR) END AS value,
   CASE WHEN g THEN 'given' WHEN left(slot,1)='c' THEN lc.method ELSE le.method END AS method, CASE WHEN g OR (left(slot,1)='c' AND lc.code IS NOT NULL) OR (left(slot,1)='e' AND le.entity_id IS NOT NULL) THEN 'linked'
   WHEN (left(slot,1)='c' AND lc.clarify=1) OR (left(slot,1)='e' AND le.clarify=1) THEN 'clarify' ELSE 'error' END state FROM cells LEFT JOIN lc ON lc.text=i LEFT JOIN le ON le.text=i""",
-      SLOTS + """, cells AS (SELECT *, regexp_full_match(i,'\\d+') AND (length(i)=6 OR slot='entity') g FROM (SELECT id, 'company' slot, company i FROM sl WHERE company IS NOT NULL UNION ALL SELECT id, 'entity_a', entity_a FROM sl WHERE entity_a IS NOT NULL
-  UNION ALL SELECT id, 'entity_b', entity_b FROM sl WHERE entity_b IS NOT NULL UNION ALL SELECT id, 'entity', entity FROM sl WHERE entity IS NOT NULL
-  UNION ALL SELECT id, 'company_a', company_a FROM sl WHERE intent='Q6' AND company_a IS NOT NULL UNION ALL SELECT id, 'company_b', company_b FROM sl WHERE intent='Q6' AND company_b IS NOT NULL)),
-lt AS (SELECT DISTINCT trim(i) t FROM cells WHERE NOT g), """ + LC + ", " + LE)(
+      CELLS)(
     lambda t: qs.link_slots(_slots(t), t.company, t.entity, t.holding))
 
 # ---- references: the question log of a session, its mentions, and the first holders as results of every third turn ----

@@ -20,27 +20,34 @@ def related_parties(parties, params=None, rule_ids=None, min_confidence=None) ->
                        render_path("path").alias("path"), "score")
 
 
+def _with_nodes(pairs) -> DataFrame:
+    """Sides as nodes of the graph: those given (a_node, b_node), else companies by code."""
+    return pairs.withColumns({f"{s}_node": F.col(f"{s}_node") if f"{s}_node" in pairs.columns else F.concat(F.lit("C:"), s) for s in ("a", "b")})
+
+
 def _hits(parties, params, subject, other, name, order) -> DataFrame:
     """Parties of one side of a pair that are the other side: by id, by name or by a name that contains it."""
     rows = params.join(parties.withColumnRenamed("subject_code", subject), subject)
-    same = (F.col("party_id") == F.concat(F.lit("C:"), F.col(other))) | (F.col("party_name") == F.col(name)) | (
+    same = (F.col("party_id") == F.col(f"{other}_node")) | (F.col("party_name") == F.col(name)) | (
         (F.col(name) != "") & F.col("party_name").contains(F.col(name)))
     return rows.where(same).groupBy("a", "b").agg(F.min_by(F.struct("rule_id", "confidence", "path"), "party_id").alias("h")).select(
         "a", "b", F.lit(order).alias("order"), "h.*")
 
 
 def relation_of_pairs(parties, pairs, link_rows=None, max_hops=3) -> DataFrame:
-    """Q2. Whether b is a party of a, else a of b, else the shortest path. pairs: a, b, a_name, b_name."""
+    """Q2. Whether b is a party of a, else a of b, else the shortest path. pairs: a, b, a_name, b_name; a_node, b_node where a side may
+    be something else than a company."""
+    pairs = _with_nodes(pairs)
     best = _hits(parties, pairs, "a", "b", "b_name", 1).unionAll(_hits(parties, pairs, "b", "a", "a_name", 2)).groupBy("a", "b").agg(
         F.min_by(F.struct("rule_id", "confidence", "path"), "order").alias("h"))
-    out = pairs.select("a", "b").join(best, ["a", "b"], "left").select(
-        "a", "b", F.col("h.rule_id").alias("rule"), F.col("h.confidence").alias("confidence"), render_path(F.col("h.path")).alias("path"))
+    out = pairs.select("a", "b", "a_node", "b_node").join(best, ["a", "b"], "left").select(
+        "a", "b", "a_node", "b_node", F.col("h.rule_id").alias("rule"), F.col("h.confidence").alias("confidence"), render_path(F.col("h.path")).alias("path"))
     if link_rows is None:
-        return out.withColumn("related", F.col("rule").isNotNull().cast("int"))
-    open_pairs = out.where("rule IS NULL").select(F.concat(F.lit("C:"), "a").alias("a"), F.concat(F.lit("C:"), "b").alias("b"))
+        return out.drop("a_node", "b_node").withColumn("related", F.col("rule").isNotNull().cast("int"))
+    open_pairs = out.where("rule IS NULL").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     walked = network.shortest_paths(link_rows, open_pairs, max_hops).select(
-        F.expr("substring(a, 3)").alias("a"), F.expr("substring(b, 3)").alias("b"), F.array_join("path", " -> ").alias("walk"))
-    return out.join(walked, ["a", "b"], "left").select(
+        F.col("a").alias("a_node"), F.col("b").alias("b_node"), F.array_join("path", " -> ").alias("walk"))
+    return out.join(walked, ["a_node", "b_node"], "left").select(
         "a", "b", "rule", "confidence", F.coalesce("path", "walk", F.lit("")).alias("path"),
         (F.col("rule").isNotNull() | F.col("walk").isNotNull()).cast("int").alias("related"))
 
