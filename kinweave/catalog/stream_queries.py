@@ -44,15 +44,29 @@ def _as_stream(df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("STR2", """SELECT session, turn, coalesce(arg_max(CASE WHEN k='m' THEN code END, CASE WHEN k='m' THEN t END), arg_min(CASE WHEN k='r' THEN code END, CASE WHEN k='r' THEN (t,pos) END)) focus_code,
+_TURNS = _LOG + ", itm AS (SELECT session, CAST(turn AS INTEGER) turn, 'm' k, code, 0 pos FROM men UNION ALL SELECT session, CAST(turn AS INTEGER), 'r', code, pos FROM res)"
+_FOCUS = """SELECT session, turn, coalesce(arg_max(CASE WHEN k='m' THEN code END, CASE WHEN k='m' THEN t END), arg_min(CASE WHEN k='r' THEN code END, CASE WHEN k='r' THEN (t,pos) END)) focus_code,
   CAST(count(*) AS INTEGER) n_focus, CAST(count(*) FILTER (WHERE k='r' AND t=turn) AS INTEGER) n_results FROM (SELECT DISTINCT session, turn FROM itm) x
-  JOIN (SELECT session s, turn t, k, code, pos FROM itm) y ON s=session AND t BETWEEN turn-3 AND turn GROUP BY 1,2""",
-       _LOG + ", itm AS (SELECT session, CAST(turn AS INTEGER) turn, 'm' k, code, 0 pos FROM men UNION ALL SELECT session, CAST(turn AS INTEGER), 'r', code, pos FROM res)")
-def str2(t):
+  JOIN (SELECT session s, turn t, k, code, pos FROM itm) y ON s=session AND t BETWEEN turn-3 AND turn GROUP BY 1,2"""
+
+
+def _turn_rows(t):
     _, mentions, results = _session_log(t)
-    rows = mentions.select("session", "turn", "ord", F.lit("user_mention").alias("kind"), "code", "name").unionAll(
+    return mentions.select("session", "turn", "ord", F.lit("user_mention").alias("kind"), "code", "name").unionAll(
         results.select("session", "turn", "pos", F.lit("result_item"), "code", "name")).withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("turn") * 60))
-    out = sw.run_to_table(fc.focus(_as_stream(rows.coalesce(4), "turns")), "focus")
+
+
+@query("STR2", _FOCUS, _TURNS)
+def str2(t):
+    out = sw.run_to_table(fc.focus(_as_stream(_turn_rows(t).coalesce(4), "turns")), "focus")
+    return out.select("session", "turn", "focus_code", "n_focus", "n_results")
+
+
+@query("STR2_closed", f"SELECT * FROM ({_FOCUS}) WHERE turn + 10 <= (SELECT max(turn) FROM itm)", _TURNS)
+def str2_closed(t):
+    """Turns that the watermark has passed, each given once."""
+    with fc.with_timers(t.spark):
+        out = sw.run_to_table(fc.closed_focus(_as_stream(_turn_rows(t).coalesce(4), "turns")), "closed-focus")
     return out.select("session", "turn", "focus_code", "n_focus", "n_results")
 
 
