@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.paths import with_attr_maps
 from kinweave.operators import folding, rules
+from kinweave.sources.tables import Tables
 from tests.conftest import rows
 
 
@@ -214,3 +215,10 @@ def test_key_of_100_000_rows_is_dealt_out(spark):
     met = skew.spread_join(pair.mine.select("entity_id", "id"), pair.theirs.select("entity_id", "o_id"), ["entity_id"], ["id"], right_key=["o_id"])
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "_at" in plan and "_by" in plan
+
+
+def test_ratio_is_cut_and_not_rounded(spark, tmp_path):
+    """10.00 of 100000.01 is 0.9999999 hundredths of a percent, which is none."""
+    spark.sql("SELECT * FROM VALUES (1L, 1L, TIMESTAMP'1995-02-01'), (2L, 2L, TIMESTAMP'1995-02-02') o(o_orderkey, o_custkey, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L, 10.0D, 1.0D), (2L, 7L, 99990.01D, 1.0D) l(l_orderkey, l_suppkey, l_extendedprice, l_quantity)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(Tables(spark, str(tmp_path)).holding, "entity_id", "ratio") == [(1, 0.0), (2, 99.99)]
