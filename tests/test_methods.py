@@ -2,8 +2,10 @@ import random
 from collections import defaultdict
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from kinweave import settings as S
 from kinweave.operators import homonyms, network, summaries
 from kinweave.plans import traces
@@ -65,6 +67,29 @@ def test_repeats_against_walk(spark):
     assert got == dict(want) and want["c"] == 3
 
 
+def test_cache_hits_against_walk(spark):
+    """An entry lives from the miss that stored it, not from the time it was last asked for."""
+    rng = random.Random(9)
+    log = [(rng.choice("ab"), rng.randint(0, 40000)) for _ in range(300)] + [("c", 0), ("c", 1800), ("c", 3600), ("c", 3601), ("d", 5), ("d", 5)]
+    want, stored = defaultdict(int), {}
+    for k, ts in sorted(log):
+        if k in stored and ts - stored[k] < 3600:
+            want[k] += 1
+        else:
+            stored[k] = ts
+    hits = traces.cache_hits(spark.createDataFrame(log, "k string, ts bigint"), ["k"])
+    got = {r["k"]: r["h"] for r in hits.groupBy("k").agg(F.sum("hits").alias("h")).collect()}
+    assert got == dict(want) and got["c"] == 2 and got["d"] == 1
+    assert traces.cache_rate(hits).first().asDict() == {"n": len(log), "hits": sum(want.values())}
+
+
+@pytest.mark.parametrize("name", ["TR4", "TR4_rate"])
+def test_cache_queries_give_hits(spark, name):
+    """The registered queries answer the whole walk, as their SQL does."""
+    assert "hits" in entry_module.queries()[name](spark, "/root/testdata/sf0.001").columns
+    assert "walk" in entry_module.oracle_sql()[name]
+
+
 def test_shortest_path_over_a_middle_company(spark):
     links = spark.createDataFrame([("E:1", "C:a"), ("E:1", "C:b"), ("E:2", "C:b"), ("E:2", "C:c"), ("E:9", "C:z")], "src string, dst string")
     pairs = spark.createDataFrame([("C:a", "C:b"), ("C:a", "C:c"), ("C:a", "C:z")], "a string, b string")
