@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.tables import cut, whole_row
+from kinweave.llm.tables import cut, pieces, texts_of, whole_row
 
 WINDOW = 10
 SHINGLE = 3
@@ -83,15 +83,11 @@ class Block:
             yield int(k), *(np.concatenate(x) for x in zip(*made))
 
 
-def _texts(batch, name):
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def _windows(size):
     """Rows (item, words) of the windows of a batch of items; a text's repeated window counts once."""
     def cut_items(batches):
         for batch in batches:
-            pairs = [(item, w) for item, text in zip(batch.column("item").to_pylist(), _texts(batch, "text")) for w in dict.fromkeys(windows_of(tokens(text), size))]
+            pairs = [(item, w) for item, text in zip(batch.column("item").to_pylist(), texts_of(batch, "text")) for w in dict.fromkeys(windows_of(tokens(text), size))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.string()), pa.array([list(w) for _, w in pairs], pa.list_(pa.binary()))], names=["item", "words"])
     return cut_items
 
@@ -101,8 +97,8 @@ def _counter(held, text):
     def count(batches):
         block = Block(*held.value)
         sums = {k: (u := np.unique(keys), np.zeros(len(u), np.int64)) for k, _, _, keys in block.shingles()}
-        for batch in batches:
-            for value in _texts(batch, text):
+        for batch in pieces(batches):
+            for value in texts_of(batch, text):
                 ids = block.ids(tokens(value))
                 for k, (known, n) in sums.items():
                     at = block.keys(ids, k)
@@ -158,14 +154,14 @@ class Finder:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _scanner(held, text):
+def _scanner(held, path):
     """Add one block's hits to what the blocks before have found: covered ranges of words, and items."""
     def scan(batches):
         block = Block(*held.value[:2])
         finder = Finder(block, held.value[2])
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, spans, lists = [], [], []
-            for value, before, items in zip(_texts(batch, text), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+            for value, before, items in zip(texts_of(batch, *path), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
                 found = tokens(value)
                 window, start = finder.find(found)
                 if len(window):
@@ -189,7 +185,15 @@ def _scanner(held, text):
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                block: int = BLOCK) -> DataFrame:
     """All rows and columns of docs with n_words, spans (starts and ends of the hit runs of words, in turn) and items (ids as strings)."""
+    return _found(docs, benchmark, (text,), item_id, item_text, window, block)
+
+
+def _found(docs, benchmark, path, item_id="item_id", item_text="text", window=WINDOW, block=BLOCK):
+    """find_items with the text at a path: a column, or a struct column and its field."""
     spark = docs.sparkSession
+    whole = F.col(f"`{path[0]}`")
+    for name in path[1:]:
+        whole = whole[name]
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     windows = cut(items.mapInArrow(_windows(window), ITEM_TYPE).distinct(), "decontam-windows")
     n_blocks = windows.count() // max(1, block // 2) + 1
@@ -197,9 +201,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     for b in range(n_blocks):
         rows = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b).collect()
         held = [tuple(bytes(x) for x in r["words"]) for r in rows], [r["item"] for r in rows]
-        counted = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(held), text), "size int, key long, n long")
+        counted = docs.select(whole.alias("text")).mapInArrow(_counter(spark.sparkContext.broadcast(held), "text"), "size int, key long, n long")
         counts = {(r["size"], r["key"]): r["n"] for r in counted.groupBy("size", "key").agg(F.sum("n").alias("n")).collect()}
-        found = found.mapInArrow(_scanner(spark.sparkContext.broadcast((*held, counts)), text), found.schema)
+        found = found.mapInArrow(_scanner(spark.sparkContext.broadcast((*held, counts)), path), found.schema)
     return found
 
 
@@ -217,5 +221,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents in which no window occurs, with their columns."""
-    held = docs.select(whole_row(docs).alias("row"), F.col("text"))
-    return find_items(held, benchmark, **settings).where(F.size("spans") == 0).select("row.*")
+    held = docs.select(whole_row(docs).alias("row"))
+    return _found(held, benchmark, ("row", "text"), **settings).where(F.size("spans") == 0).select("row.*")

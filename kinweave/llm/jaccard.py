@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kinweave.llm.components import components
-from kinweave.llm.tables import cut, free
+from kinweave.llm.tables import cut, free, pieces, texts_of
 
 SIZE, PERCENT = 4, 85
 #: Classes of a token from which on they are compared in blocks, and the most classes and tokens of a block.
@@ -93,9 +93,9 @@ def _signed(size, percent):
     """Of each document: size and digest of its set, and its prefix under the first order."""
     def sign(batches):
         hashes = _Hashes()
-        for batch in batches:
+        for batch in pieces(batches):
             n, keys, prefixes = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in texts_of(batch, "text"):
                 s = shingle_set(text or b"", size, hashes)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -109,8 +109,8 @@ def _signed(size, percent):
 def _sets(size):
     def sets(batches):
         hashes = _Hashes()
-        for batch in batches:
-            made = [shingle_set(t or b"", size, hashes).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in pieces(batches):
+            made = [shingle_set(t or b"", size, hashes).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["cls", "set"])
     return sets
 

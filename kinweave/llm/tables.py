@@ -1,4 +1,5 @@
 """Reading the corpus tables and cutting lineage in the shared folder."""
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return written(df, f"llm-{name}")
 
 
+#: Rows of a batch that are worked on and handed back at a time.
+PIECE = 512
+
+
+def pieces(batches):
+    """The batches in pieces of few rows, so that a task holds the texts and the results of a piece beside the batch itself."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PIECE):
+            yield batch.slice(i, PIECE)
+
+
+def texts_of(batch, *path) -> list:
+    """UTF-8 texts of a column, or of a field of a struct column: a row that holds its text need not bring it twice."""
+    column = batch.column(path[0])
+    for name in path[1:]:
+        column = column.field(name)
+    return column.cast(pa.binary()).to_pylist()
+
+
 def shards_of(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, which grow with the cluster's setting and never with the rows of one key."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

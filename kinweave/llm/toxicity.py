@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinweave.llm.decontamination import tokens
-from kinweave.llm.tables import cut, whole_row
+from kinweave.llm.tables import cut, pieces, texts_of, whole_row
 
 SAMPLE = 10_000
 WORDS = 1 << 16
@@ -193,8 +193,8 @@ def _holders(held, text):
     def count(batches):
         number = held.value.numbers()
         n, total = np.zeros(len(number), np.int64), 0
-        for batch in batches:
-            for value in batch.column(text).cast(pa.binary()).to_pylist():
+        for batch in pieces(batches):
+            for value in texts_of(batch, text):
                 held_words = set(tokens(value))
                 n[[number[w] for w in held_words if w in number]] += 1
                 total += len(held_words)
@@ -269,15 +269,15 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = held.value
         number = model.numbers()
         tables = model.tables() if model.curve is not None else None
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for batch in pieces(batches):
+            texts = texts_of(batch, "row", text)
             if tables is None:
                 p = np.full(len(texts), model.rate)
             else:
                 x = features([model.evidence(tokens(t), number, tables) for t in texts])
                 p = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "score"])
-    rows = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"))
     return rows.mapInArrow(score, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 

@@ -274,3 +274,18 @@ def test_components(spark):
         top[max(u, v)] = min(u, v)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_batches_are_worked_on_in_pieces(spark):
+    """Results come back in pieces of few rows, and a row brings its text once."""
+    import pyarrow as pa
+    from kinweave.llm import tables
+    batch = pa.RecordBatch.from_arrays([pa.array([{"i": i, "text": None if i % 7 == 0 else f"t{i}"} for i in range(tables.PIECE * 2 + 3)])], names=["row"])
+    cut = list(tables.pieces([batch, batch.slice(0, 0)]))
+    assert [b.num_rows for b in cut] == [tables.PIECE, tables.PIECE, 3]
+    assert sum((tables.texts_of(b, "row", "text") for b in cut), []) == [None if i % 7 == 0 else b"t%d" % i for i in range(batch.num_rows)]
+    docs = spark.range(1500).selectExpr("id doc_id", "concat('word', id) text")
+    plans = [decontamination.clean(docs, docs.selectExpr("doc_id item_id", "text").where("doc_id < 3")), toxicity.scored(docs, toxicity.Model(rate=0.5))]
+    assert [p.count() for p in plans] == [1497, 1500]
+    for p in plans:
+        assert not re.search(r"\(row#\d+, text#", p._jdf.queryExecution().optimizedPlan().toString())
