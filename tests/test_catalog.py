@@ -41,3 +41,11 @@ def test_facts_are_read_back_pruned(spark):
     from kinweave.sources.tables import Tables
     plan = Tables(spark, FOLDER).holding.where("ratio >= 5").select("entity_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ratio), GreaterThanOrEqual(ratio,5.0)]" in plan and "ReadSchema: struct<entity_id:bigint,ratio:double>" in plan
+
+
+def test_found_are_the_parties_without_paths(spark):
+    from kinweave.sources.tables import Tables
+    t = Tables(spark, FOLDER)
+    columns = [c for c in t.parties.columns if c != "path"]
+    assert t.found.columns == columns
+    assert t.found.exceptAll(t.parties.select(columns)).count() == 0 and t.found.count() == t.parties.count()
