@@ -131,3 +131,20 @@ def test_occurrences_with_many_heads(spark):
     one = linking.occurrences(df, spark.createDataFrame([("甲",), ("甲乙",)], "word string"))
     assert one.where("id = 8").groupBy("word").count().collect() and one.where("id = 8 AND word = '甲'").count() == 300
     assert linking.occurrences(df, words.limit(0)).count() == 0
+
+
+def test_large_sides_of_links_are_not_broadcast(spark, monkeypatch):
+    """Names pack so well that the size of their file or shuffle says little of what they take in the driver's memory."""
+    monkeypatch.setattr(linking, "SHUFFLED_WORDS", 1)
+    company = spark.createDataFrame([("000001", "Alpha"), ("000002", "Beta")], "stock_code string, short_name string")
+    entity = spark.createDataFrame([(1, "Alpha", "alpha", 0), (2, "Beta Fund", "beta fund", 0), (3, "Gamma", "gamma", 0)],
+                                   "entity_id bigint, display_name string, canonical_name string, is_channel int")
+    holding = spark.createDataFrame([(2, "000001")], "entity_id bigint, stock_code string")
+    texts = spark.createDataFrame([("Alpha",), ("Beta",), ("GAMMA",), ("amm",), ("none",)], "text string")
+    linked = linking.link_entity(texts, company, entity, holding)
+    assert {r.text: (r.method, r.entity_id, r.candidates) for r in linked.collect()} == {
+        "Alpha": ("company_name->entity", 1, None), "Beta": ("company_fuzzy+hold_count", 2, None), "GAMMA": ("display_name_exact", 3, None),
+        "amm": ("fuzzy", None, "3"), "none": ("not_found", None, None)}
+    plan = linked._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert not [line for line in plan.splitlines() if "Join [t#" in line and "LeftOuter" in line], "parts of a text meet in a grouping"
