@@ -222,3 +222,33 @@ def test_ratio_is_cut_and_not_rounded(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (1L, 1L, TIMESTAMP'1995-02-01'), (2L, 2L, TIMESTAMP'1995-02-02') o(o_orderkey, o_custkey, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
     spark.sql("SELECT * FROM VALUES (1L, 7L, 10.0D, 1.0D), (2L, 7L, 99990.01D, 1.0D) l(l_orderkey, l_suppkey, l_extendedprice, l_quantity)").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(Tables(spark, str(tmp_path)).holding, "entity_id", "ratio") == [(1, 0.0), (2, 99.99)]
+
+
+def test_figures_under_control_are_those_of_all_pairs(spark):
+    """Companies under one controller are counted, not paired: shared controllers, equal names, a channel, parties that other rules found too."""
+    from kinweave.operators import folding, rules
+    from kinweave.plans import evaluation as ev
+    codes = [f"{i:06d}" for i in range(1, 9)]
+    names = ["甲", "乙", "乙有限公司", "丁", "戊", "己", "庚", "甲股份有限公司"]
+    company = spark.createDataFrame(list(zip(codes, names)), "stock_code string, short_name string")
+    entity = spark.createDataFrame([(1, 0, "high", "首", "首"), (2, 0, "low", "次", "次"), (3, 1, "high", "通", "通"), (4, 0, "high", "持", "持")],
+                                   "entity_id long, is_channel int, confidence string, display_name string, canonical_name string")
+    under = [(1, "000001"), (1, "000002"), (1, "000003"), (2, "000003"), (2, "000004"), (2, "000009"), (3, "000005"), (3, "000006"), (1, "000008"), (2, "000001")]
+    controller = spark.createDataFrame([(i, c, e, 40.0, "s", "1995-01-01", None) for i, (e, c) in enumerate(under)],
+                                       "id long, stock_code string, entity_id long, control_ratio double, source string, valid_from string, valid_to string")
+    holding = spark.createDataFrame([(i, 4, c, "1995-03", 1.0, r, 1, "s", "1995-03-01", None) for i, (c, r) in enumerate(
+        [("000001", 4.0), ("000002", 6.0), ("000005", 8.0), ("000007", 9.0)])],
+        "id long, entity_id long, stock_code string, report_period string, shares double, ratio double, holder_rank int, source string, valid_from string, valid_to string")
+    position = spark.createDataFrame([], "id long, entity_id long, stock_code string, title string, title_class string, source string, valid_from string, valid_to string")
+    pledge = spark.createDataFrame([(1, "000001", "000002", 1.0, "n", "2024-01-01"), (2, "000001", "000006", 1.0, "n", "2024-01-01"), (3, "000007", "000003", 1.0, "n", "2024-01-01")],
+                                   "id long, subject_code string, counterparty_code string, amount double, source string, event_date string")
+    gold = spark.createDataFrame([("000001", "乙"), ("000001", "不在"), ("000002", "乙"), ("000003", "丁有限公司"), ("000003", "乙"), ("000008", "甲"), ("000004", "持"),
+                                  ("000005", "己"), ("000002", "持"), ("000001", "000006")], "stock_code string, party_name string").selectExpr("*", "'upstream' scope_class")
+    facts = (company, entity, holding, position, controller, pledge)
+    members, others = rules.control_members(controller, entity, company).cache(), rules.runs_outside_control(*facts).cache()
+    everyone = rules.all_runs(*facts).drop("first_path", "last_path")
+    want = ev.figures(ev.align(folding.fold_runs(everyone), gold, "upstream"))
+    got = ev.figures_under_control(folding.fold_runs(others), members, gold, "upstream")
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    # No pair of two companies under one controller is written out.
+    assert others.where("subject_code = '000001' AND party_id IN ('C:000002', 'C:000003', 'C:000004', 'C:000008')").count() == 0
