@@ -251,3 +251,16 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError("another number of buckets must not pass")
+
+
+def test_holding_shuffles_priced_rows_once(spark, tmp_path):
+    """Amounts, ranks and totals come from one shuffle of the joined rows; rows without a supplier stay, as in the SQL."""
+    from kinweave.sources.tables import Tables
+    spark.createDataFrame([(1, 5, "1994-02-01"), (2, 6, "1994-03-01")], "o_orderkey bigint, o_custkey bigint, o_orderdate string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 3, 0, 30.0, 1.0), (2, 3, 1, 70.0, 2.0), (2, None, 2, 9.0, 1.0)], """l_orderkey bigint, l_suppkey bigint, l_linenumber int,
+        l_extendedprice double, l_quantity double""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    held = Tables(spark, str(tmp_path))._holding()
+    assert held._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(held.select("stock_code", "entity_id", "ratio", "holder_rank").collect(), key=str) == sorted(
+        [("000003", 6, None if 6 % 4 == 0 else 70.0, 1), ("000003", 5, 30.0, 2), (None, 6, 100.0, 1)], key=str)
