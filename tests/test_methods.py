@@ -264,3 +264,19 @@ def test_holding_shuffles_priced_rows_once(spark, tmp_path):
     assert held._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(held.select("stock_code", "entity_id", "ratio", "holder_rank").collect(), key=str) == sorted(
         [("000003", 6, None if 6 % 4 == 0 else 70.0, 1), ("000003", 5, 30.0, 2), (None, 6, 100.0, 1)], key=str)
+
+
+def test_shortest_paths_write_no_rows_per_met_node(spark, monkeypatch):
+    """Ends that meet in many nodes: what is written for pairs is at most a row for each, and the first way is found."""
+    left = [(f"E:{e}", c) for e in range(20, 32) for c in ("C:a", *[f"C:m{m}" for m in range(12)])]
+    right = [(f"E:{e}", c) for e in range(40, 52) for c in ("C:z", *[f"C:m{m}" for m in range(12)])]
+    sizes, own = {}, network.written
+
+    def counted(df, name):
+        done = own(df, name)
+        sizes[name] = done.count()
+        return done
+    monkeypatch.setattr(network, "written", counted)
+    got = network.shortest_paths(spark.createDataFrame(left + right, "src string, dst string"), spark.createDataFrame([("C:a", "C:z")], "a string, b string"), 4).collect()
+    assert [(r["path"], r["hops"]) for r in got] == [(["C:a", "E:20", "C:m0", "E:40", "C:z"], 4)]
+    assert max(n for name, n in sizes.items() if name[6:].rstrip("-0123456789") not in ("", "nodes", "step")) <= 1
