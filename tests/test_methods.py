@@ -280,3 +280,14 @@ def test_shortest_paths_write_no_rows_per_met_node(spark, monkeypatch):
     got = network.shortest_paths(spark.createDataFrame(left + right, "src string, dst string"), spark.createDataFrame([("C:a", "C:z")], "a string, b string"), 4).collect()
     assert [(r["path"], r["hops"]) for r in got] == [(["C:a", "E:20", "C:m0", "E:40", "C:z"], 4)]
     assert max(n for name, n in sizes.items() if name[6:].rstrip("-0123456789") not in ("", "nodes", "step")) <= 1
+
+
+def test_walk_of_pairs_asks_for_no_parties(spark, monkeypatch):
+    from kinweave.catalog import lookup_queries
+    from kinweave.sources.tables import Tables
+
+    def none(self):
+        raise AssertionError("parties were made")
+    monkeypatch.setattr(Tables, "parties", property(none))
+    walked = lookup_queries.q2_walk(Tables(spark, "/root/testdata/sf0.001"))
+    assert walked.columns == ["a", "b", "related", "path"] and walked.count() > 0
