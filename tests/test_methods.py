@@ -291,3 +291,28 @@ def test_walk_of_pairs_asks_for_no_parties(spark, monkeypatch):
     monkeypatch.setattr(Tables, "parties", property(none))
     walked = lookup_queries.q2_walk(Tables(spark, "/root/testdata/sf0.001"))
     assert walked.columns == ["a", "b", "related", "path"] and walked.count() > 0
+
+
+def test_disclosed_counts_are_those_of_all_parties(spark, monkeypatch):
+    from kinweave.operators import folding
+    from kinweave.plans import evaluation as ev
+    from kinweave.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    gold = ev.with_scope(t.gold)
+    sides = ev.align(t.parties, gold).where("side <> 'system_only'").groupBy("stock_code").agg(
+        F.count_if(F.col("side") == "matched").alias("n_matched"), F.count_if(F.col("side") == "gold_only").alias("n_gold_only"))
+    # Every company also discloses the one after it, which may be under the same controller, and itself.
+    more = gold.unionByName(t.company.select(F.lit(-1).cast("bigint").alias("id"), "stock_code", F.lit(2024).alias("report_year"), F.explode(F.array(
+        "short_name", F.concat(F.lit("Supplier#"), F.lpad((F.col("stock_code").cast("int") + 1).cast("string"), 9, "0")))).alias("party_name"), F.lit(None).cast("bigint").alias("party_entity_id"),
+        F.lit("").alias("relation_desc"), F.lit(1).alias("source_page"), F.lit("other").alias("scope_class")), allowMissingColumns=True)
+    wide = ev.align(t.parties, more).where("side <> 'system_only'").groupBy("stock_code").agg(
+        F.count_if(F.col("side") == "matched").alias("n_matched"), F.count_if(F.col("side") == "gold_only").alias("n_gold_only"))
+    others, cols = folding.fold_runs(t.runs_outside_control), ("stock_code", "n_matched", "n_gold_only")
+    assert rows(ev.disclosed_counts(others, t.members, gold), *cols) == rows(sides, *cols)
+    assert rows(ev.disclosed_counts(others, t.members, more), *cols) == rows(wide, *cols)
+
+    def none(self):
+        raise AssertionError("all parties were made")
+    monkeypatch.setattr(Tables, "parties", property(none))
+    monkeypatch.setattr(Tables, "candidates", property(none))
+    assert entry_module.queries()["Q9"](spark, t.folder).count() == t.company.count()
