@@ -316,3 +316,13 @@ def test_disclosed_counts_are_those_of_all_parties(spark, monkeypatch):
     monkeypatch.setattr(Tables, "parties", property(none))
     monkeypatch.setattr(Tables, "candidates", property(none))
     assert entry_module.queries()["Q9"](spark, t.folder).count() == t.company.count()
+
+
+def test_review_order_asks_for_no_paths(spark, monkeypatch):
+    from kinweave.sources.tables import Tables
+
+    def none(self):
+        raise AssertionError("paths were made")
+    monkeypatch.setattr(Tables, "runs", property(none))
+    monkeypatch.setattr(Tables, "parties", property(none))
+    assert entry_module.queries()["W9"](spark, "/root/testdata/sf0.001").count() > 0
