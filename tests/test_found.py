@@ -35,3 +35,37 @@ def test_pairs_but_known_ones(spark):
     for side in (2, 100):
         assert sorted(tuple(r) for r in paired_except(left, right, ["k"], "a", "b", known, side).select("k", "a", "b").collect()) == want
     assert may_be_hot(left, right, ["k"], hot_rows=5) and not may_be_hot(left, right, ["k"], hot_rows=50)
+
+
+def test_alignment_ablation_and_shared_names_are_those_of_all_pairs(spark, crowd, monkeypatch):
+    """Names under control that are also found outside it, disclosed or borne by several companies; no pair under control is folded for them."""
+    from kinweave.operators import summaries
+    from kinweave.plans import evaluation as ev
+    crowd = {**crowd, **{k: crowd[k].where("id % 5 = 0") for k in ("holding", "position")}, "guarantee_pair": crowd["guarantee_pair"].where("id < 6")}
+    crowd["company"] = crowd["company"].withColumn("short_name", F.when(F.col("stock_code") == "000004", "C2").otherwise(F.col("short_name")))
+    gold = spark.createDataFrame([(f"{i:06d}", n) for i in range(8) for n in ("C2", "C5", "P1", "不在", "000003")[i % 3:]], "stock_code string, party_name string").selectExpr(
+        "*", "if(party_name = 'P1', 'other', 'upstream') scope_class")
+    runs = rules.all_runs(**crowd).drop("first_path", "last_path").cache()
+    everyone = folding.fold_runs(runs).cache()
+    pairs = found.pairs_met(**crowd).cache()
+    members = rules.control_members(crowd["controller"], crowd["entity"], crowd["company"]).cache()
+    outside = found.folded(pairs.where("c_n = 0"), crowd["company"]).cache()
+    names = ("stock_code", "name", "side")
+    want = rows(ev.align(everyone, gold, "upstream"), *names)
+    assert rows(ev.align_under_control(outside, members, gold, "upstream"), *names) == want and {r[2] for r in want} == {"matched", "gold_only", "system_only"}
+    got = ev.rule_ablation(pairs, crowd["company"], members, gold)
+    for r in (1, 2, 3, 4):
+        one = ev.figures(ev.align(folding.fold_runs(runs.where(F.col("rule_no") != r)), gold, "upstream"))
+        assert rows(got.where(F.col("setting") == f"R{r}"), *one.columns) == rows(one, *one.columns)
+    following = spark.createDataFrame([(f"{i:06d}", f"{j:06d}") for i in range(9) for j in range(9)], "a string, b string")
+    assert rows(ev.shared_names(outside, members, following), "a", "b", "name") == rows(summaries.shared_names(everyone, following), "a", "b", "name")
+
+
+def test_review_order_sorts_only_the_met(spark):
+    from kinweave.operators import summaries
+    parties = lambda xs: spark.createDataFrame([(str(i), *x) for i, x in enumerate(xs)], "party_id string, rule_id string, confidence string, score_c int")
+    met = parties([("R3", "low", 30), ("R2+R7", "high", 100), ("R2+R3", "high", 95), ("R1", "high", 95), ("R2", "high", 40), ("R9", "low", 90), ("R2+R4", "high", 90)])
+    alone = parties([("R2", "high", 90), ("R2", "high", 100), ("R2", "high", 90)])
+    key = ("rule_order", "conf_order", "score_c")
+    got = [tuple(r) for r in summaries.review_order_of(met, alone, found.scores_alone()).select(*key).collect()]
+    assert got == [tuple(r) for r in summaries.review_order(met.unionAll(alone)).select(*key).collect()] and len(got) == 10
